@@ -45,15 +45,15 @@ def compact_number(x: Column) -> Column:
         shown = F.when(exponent == 5 - digits, round_dp(x, digits)).otherwise(shown)
     plain = F.concat(
         F.when(shown < 0, "-").otherwise(""),
-        _trim_zeros(F.concat(F.abs(shown).cast("decimal(30,9)").cast("string"), F.lit(""))),
+        _trim_zeros(F.concat(F.abs(shown).try_cast("decimal(30,9)").cast("string"), F.lit(""))),
     )
     # Mantissa and exponent form, for magnitudes of 1e6 and above or below 1e-3.
     mantissa = F.rint(x / F.pow(F.lit(10.0), exponent) * 1e5) / 1e5
     carried = F.when(F.abs(mantissa) >= 10, mantissa / 10).otherwise(mantissa)
     power = F.when(F.abs(mantissa) >= 10, exponent + 1).otherwise(exponent)
-    small = _trim_zeros(x.cast("decimal(30,10)").cast("string"))
+    small = _trim_zeros(x.try_cast("decimal(30,10)").cast("string"))
     scientific = F.concat(
-        _trim_zeros(carried.cast("decimal(12,6)").cast("string")),
+        _trim_zeros(carried.try_cast("decimal(12,6)").cast("string")),
         F.when(power < 0, "e-").otherwise("e+"),
         F.lpad(F.abs(power).cast("string"), 2, "0"),
     )
