@@ -8,10 +8,20 @@ from pyspark.sql import Column, functions as F
 
 from norrsken.constants import EUR_RATES
 
-_NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_NUMBER_PATTERN = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 _SPLITTER = 134217729.0  # 2**27 + 1
 
 
+def _round_scaled(x: Column, scale: Column | float) -> Column:
+    product = x * scale
+    whole = F.rint(product)
+    gap = product - whole
+    upper = x * _SPLITTER - (x * _SPLITTER - x)
+    error = (upper * scale - product) + (x - upper) * scale
+    step = F.when((F.abs(gap) == 0.5) & (error * gap > 0), gap * 2.0).otherwise(0.0)
+    return (whole + step) / scale
+
+
 def round_dp(x: Column, digits: int) -> Column:
     """Round to ``digits`` decimals by the exact binary value, ties to even.
 
@@ -20,16 +30,7 @@ def round_dp(x: Column, digits: int) -> Column:
     if it lands exactly between two integers its exact rounding error (from a split of x into
     two halves) says on which side the true value lies. Everything is plain double arithmetic.
     """
-    scale = float(10**digits)
-    p = x * scale
-    low = F.floor(p)
-    hi = x * _SPLITTER - (x * _SPLITTER - x)
-    error = (hi * scale - p) + (x - hi) * scale
-    tie = (p - low) == 0.5
-    nearest = (
-        F.when(tie & (error > 0), low + 1.0).when(tie & (error < 0), low + 0.0).otherwise(F.rint(p))
-    )
-    return nearest / scale
+    return _round_scaled(x, float(10**digits))
 
 
 def _trim_zeros(text: Column) -> Column:
@@ -37,32 +38,20 @@ def _trim_zeros(text: Column) -> Column:
 
 
 def compact_number(x: Column) -> Column:
-    """Six significant digits without trailing zeros, as C's ``%g`` prints them."""
-    size = F.abs(x)
-    exponent = F.floor(F.log10(size)).cast("int")
-    shown = F.lit(None).cast("double")
-    for digits in range(8, -1, -1):
-        shown = F.when(exponent == 5 - digits, round_dp(x, digits)).otherwise(shown)
-    plain = F.concat(
-        F.when(shown < 0, "-").otherwise(""),
-        _trim_zeros(F.concat(F.abs(shown).try_cast("decimal(30,9)").cast("string"), F.lit(""))),
-    )
-    # Mantissa and exponent form, for magnitudes of 1e6 and above or below 1e-3.
-    mantissa = F.rint(x / F.pow(F.lit(10.0), exponent) * 1e5) / 1e5
-    carried = F.when(F.abs(mantissa) >= 10, mantissa / 10).otherwise(mantissa)
-    power = F.when(F.abs(mantissa) >= 10, exponent + 1).otherwise(exponent)
-    small = _trim_zeros(x.try_cast("decimal(30,10)").cast("string"))
-    scientific = F.concat(
-        _trim_zeros(carried.try_cast("decimal(12,6)").cast("string")),
-        F.when(power < 0, "e-").otherwise("e+"),
-        F.lpad(F.abs(power).cast("string"), 2, "0"),
-    )
+    """Six significant digits without trailing zeros, as C's ``%g`` prints them.
+
+    Pass a plain column: the expression mentions ``x`` many times.
+    """
+    exponent = F.floor(F.log10(F.abs(x)))
+    scale = F.pow(F.lit(10.0), F.lit(5) - exponent)
+    shown = _round_scaled(x, scale)
+    plain = _trim_zeros(shown.try_cast("decimal(30,10)").cast("string"))
+    # Mantissa and exponent form, for magnitudes of 1e6 and above or below 1e-4.
+    scientific = F.regexp_replace(F.format_string("%.5e", x), r"\.?0*e", "e")
     return (
-        F.when(x.isNull(), F.lit(None).cast("string"))
-        .when(x == 0, "0")
-        .when(exponent.between(-3, 5) & (F.abs(shown) < 1e6), plain)
-        .when(exponent == -4, small)
-        .otherwise(scientific)
+        F.when(x == 0, "0")
+        .when((F.abs(x) >= 0.0001) & (F.abs(x) < 999999.5), plain)
+        .when(x.isNotNull(), scientific)
     )
 
 
@@ -89,8 +78,8 @@ def number(text: Column) -> Column:
     The pattern keeps out suffixes such as ``10d`` that the JVM would read, and ``nan``, which
     Spark orders above every number.
     """
-    stripped = F.btrim(text.cast("string"), F.lit(" \t\r\n"))
-    return F.when(stripped.rlike(_NUMBER_PATTERN), stripped.try_cast("double"))
+    digits = F.regexp_extract(text.cast("string"), _NUMBER_PATTERN, 0)
+    return F.trim(digits).try_cast("double")
 
 
 def market_number(text: Column) -> Column:
@@ -98,9 +87,13 @@ def market_number(text: Column) -> Column:
     return number(F.regexp_replace(text, "[,%]", ""))
 
 
-def payload_number(payload: Column, *paths: str) -> Column:
-    """The first JSON path that holds a number. Booleans and objects do not count."""
-    return F.coalesce(*(number(F.get_json_object(payload, path)) for path in paths))
+def payload_number(value: Column) -> Column:
+    """A payload value, given as its JSON text: plain or wrapped as ``{"raw": x}``.
+
+    Booleans and other objects do not count.
+    """
+    wrapped = F.when(value.startswith("{"), F.get_json_object(value, "$.raw")).otherwise(value)
+    return number(wrapped)
 
 
 def eur_rate(currency: Column, rates: Mapping[str, float] = EUR_RATES) -> Column:

@@ -8,61 +8,75 @@ from norrsken import constants as K
 from norrsken.functions.numeric import compact_number, round_dp
 from norrsken.functions.rules import Rule, fired_texts, first_match, total_points
 from norrsken.functions.text import has_signal, searchable, strip
-from norrsken.schemas import VALUATION, null_of
+from norrsken.schemas import null_of
 
 
-def _valuation(attractive: Column, kind: str, value: Column, summary: Column) -> Column:
-    return F.struct(
-        F.lit(True).alias("has_support"),
-        attractive.alias("is_attractive"),
-        F.lit(kind).alias("primary_kind"),
-        value.alias("primary_value"),
-        summary.alias("summary"),
-    ).cast(VALUATION)
+# --- fixed values: valuation kinds in the order of preference: limit, summary ----------------
+DIRECT_MULTIPLES = {
+    "pe_ratio": (14.0, "P/E is ", "."),
+    "price_to_book": (1.5, "Price/book is ", "."),
+    "ev_to_ebit": (12.0, "EV/EBIT is ", "."),
+}
+PROXIES = {
+    "market_cap_to_sales": ("revenue_eur_m", 2.0, "Market cap/sales is ", "x."),
+    "market_cap_to_book": ("book_value_eur_m", 1.5, "Market cap/book value is ", "x."),
+    "net_cash_to_market_cap": ("net_cash_eur_m", 20.0, "Net cash equals ", "% of market cap."),
+    "earnings_yield_pe": ("net_income_eur_m", 14.0, "Implied P/E is ", "."),
+}
+SHARE_OF_CAP = "net_cash_to_market_cap"
+NO_VALUATION = "No valuation metric or proxy is available."
 
 
-def valuation_support() -> Column:
-    """The first positive direct multiple decides, even if a later one is cheaper.
+def with_valuation(research: DataFrame) -> DataFrame:
+    """Adds the valuation struct.
 
-    Without one, the first computable proxy over a positive market cap decides.
+    The first positive direct multiple decides, even if a later one is cheaper. Without one, the
+    first computable proxy over a positive market cap decides. Kind, value and wording are built
+    in steps, so that the number text is generated once and not once per kind.
     """
     c = F.col
-    cap = F.when(c("market_cap_eur_m") > 0, c("market_cap_eur_m"))
-    branches = []
-    for kind, limit, label in (
-        ("pe_ratio", 14.0, "P/E"), ("price_to_book", 1.5, "Price/book"),
-        ("ev_to_ebit", 12.0, "EV/EBIT"),
-    ):
-        metric = c(kind)
-        sentence = F.concat(F.lit(f"{label} is "), compact_number(metric), F.lit("."))
-        branches.append(
-            (metric > 0, _valuation(metric <= limit, kind, round_dp(metric, 2), sentence))
+    kind, value = c("valuation_kind"), c("valuation_value")
+    cap = c("market_cap_eur_m")
+    named = [(c(name) > 0, F.lit(name)) for name in DIRECT_MULTIPLES]
+    named += [((cap > 0) & (c(base) > 0), F.lit(name)) for name, (base, *_) in PROXIES.items()]
+    computed = F.coalesce(
+        *(F.when(kind == name, c(name)) for name in DIRECT_MULTIPLES),
+        *(
+            F.when(kind == name, c(base) / cap * 100.0 if name == SHARE_OF_CAP else cap / c(base))
+            for name, (base, *_) in PROXIES.items()
+        ),
+    )
+    rounded = c("valuation_rounded")
+    # Proxies are judged and worded after rounding, direct multiples before.
+    shown = F.when(kind.isin(*DIRECT_MULTIPLES), value).otherwise(rounded)
+    wording = {name: (a, b) for name, (_, a, b) in DIRECT_MULTIPLES.items()}
+    wording |= {name: (a, b) for name, (_, _, a, b) in PROXIES.items()}
+    before = F.coalesce(*(F.when(kind == n, a) for n, (a, _) in wording.items()))
+    after = F.coalesce(*(F.when(kind == n, b) for n, (_, b) in wording.items()))
+    limits = {name: limit for name, (limit, *_) in DIRECT_MULTIPLES.items()}
+    limits |= {name: limit for name, (_, limit, *_) in PROXIES.items()}
+    limit = F.coalesce(*(F.when(kind == n, F.lit(x)) for n, x in limits.items()))
+    cheap = F.when(kind == SHARE_OF_CAP, c("valuation_shown") >= limit).otherwise(
+        c("valuation_shown") <= limit
+    )
+    summary = F.concat(before, compact_number(c("valuation_shown")), after)
+    return (
+        research.withColumn("valuation_kind", first_match(*named, otherwise=null_of("string")))
+        .withColumn("valuation_value", computed)
+        .withColumn("valuation_rounded", round_dp(value, 2))
+        .withColumn("valuation_shown", shown)
+        .withColumn(
+            "valuation",
+            F.struct(
+                kind.isNotNull().alias("has_support"),
+                F.coalesce(cheap, F.lit(False)).alias("is_attractive"),
+                kind.alias("primary_kind"),
+                rounded.alias("primary_value"),
+                F.coalesce(summary, F.lit(NO_VALUATION)).alias("summary"),
+            ),
         )
-
-    def proxy(base: str, kind: str, limit: float, before: str, after: str) -> None:
-        safe = F.when(c(base) > 0, c(base))
-        if kind == "net_cash_to_market_cap":
-            value = round_dp(safe / cap * 100.0, 2)
-            attractive = value >= limit
-        else:
-            value = round_dp(cap / safe, 2)
-            attractive = value <= limit
-        sentence = F.concat(F.lit(before), compact_number(value), F.lit(after))
-        branches.append((value.isNotNull(), _valuation(attractive, kind, value, sentence)))
-
-    proxy("revenue_eur_m", "market_cap_to_sales", 2.0, "Market cap/sales is ", "x.")
-    proxy("book_value_eur_m", "market_cap_to_book", 1.5, "Market cap/book value is ", "x.")
-    proxy("net_cash_eur_m", "net_cash_to_market_cap", 20.0, "Net cash equals ", "% of market cap.")
-    proxy("net_income_eur_m", "earnings_yield_pe", 14.0, "Implied P/E is ", ".")
-
-    nothing = F.struct(
-        F.lit(False).alias("has_support"),
-        F.lit(False).alias("is_attractive"),
-        null_of("string").alias("primary_kind"),
-        null_of("double").alias("primary_value"),
-        F.lit("No valuation metric or proxy is available.").alias("summary"),
-    ).cast(VALUATION)
-    return first_match(*branches, otherwise=nothing)
+        .drop("valuation_kind", "valuation_value", "valuation_rounded", "valuation_shown")
+    )
 
 
 def has_text(column: Column) -> Column:
@@ -174,10 +188,6 @@ def _thesis() -> Column:
     return F.coalesce(*(F.when(c("bucket") == k, text) for k, text in sentences.items()))
 
 
-def with_valuation(research: DataFrame) -> DataFrame:
-    return research.withColumn("valuation", valuation_support())
-
-
 def with_quality(research: DataFrame) -> DataFrame:
     """Adds valuation, quality_adjustment, proof_penalty, quality_reasons, proof_gaps, bucket."""
     added, gaps = _quality_rules(), _gap_rules()

@@ -131,17 +131,19 @@ def _noted(items: Column, test: Column, note: str) -> Column:
 
 
 def _score(strategy: str, **parts: Column) -> Column:
-    total = round_dp(
-        parts["value"] + parts["discovery"] + parts["catalyst"]
-        - parts["risk_penalty"] - parts["data_quality_penalty"],
-        2,
-    )
-    parts = {**parts, "total": total}
+    """The parts of one strategy score. The total follows from them after the explode."""
     return F.struct(
-        F.lit(strategy).alias("strategy"), *(parts[name].alias(name) for name in SCORE_COLUMNS)
+        F.lit(strategy).alias("strategy"),
+        *(parts[name].alias(name) for name in SCORE_COLUMNS if name != "total"),
     )
 
 
+def _total() -> Column:
+    c = F.col
+    gained = c("score.value") + c("score.discovery") + c("score.catalyst")
+    return round_dp(gained - c("score.risk_penalty") - c("score.data_quality_penalty"), 2)
+
+
 def _adjusted_score(strategy: str) -> Column:
     c = F.col
     value, discovery, reasons = c("value"), c("discovery"), c("reasons")
@@ -231,6 +233,8 @@ def strategy_scores(research: DataFrame, strategies: str | Sequence[str] = K.STR
         name for name in df.columns
         if name not in (*SCORE_COLUMNS, "catalyst_text", "risk_text", "signal_text")
     ]
-    if len(scores) == 1:
-        return df.withColumn("score", scores[0]).select(*rest, "score.*")
-    return df.select(*rest, F.explode(F.array(*scores)).alias("score")).select(*rest, "score.*")
+    exploded = df.select(
+        *rest, (scores[0] if len(scores) == 1 else F.explode(F.array(*scores))).alias("score")
+    )
+    parts = [_total().alias("total") if n == "total" else F.col(f"score.{n}") for n in SCORE_COLUMNS]
+    return exploded.select(*rest, "score.strategy", *parts)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -17,6 +17,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
@@ -24,6 +25,16 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
     return spark
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The frame written to and read back from the shared folder, which cuts its lineage.
+
+    A written table survives lost executors, and its size is known to the planner.
+    """
+    folder = shared_folder(df.sparkSession, "checkpoint")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new, unique folder below the cluster's ``spark.checkpoint.dir``.
 
