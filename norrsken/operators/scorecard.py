@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from norrsken import constants as K
 from norrsken.functions.numeric import percent_text, round_dp
@@ -63,6 +63,11 @@ def horizon_scorecard(
     )
     n, cents = c("n"), c("cents")
     exact, weight = cents.cast("decimal(14,0)"), n.cast("decimal(18,0)")
+    # The two middle values: where the running count reaches, and passes, half of the rows.
+    by_value = Window.partitionBy(*group).orderBy("cents")
+    running = F.sum("n").over(by_value.rowsBetween(Window.unboundedPreceding, 0)) * 2
+    everything = F.sum("n").over(Window.partitionBy(*group))
+    tallies = tallies.withColumns({"running": running, "everything": everything})
     stats = tallies.groupBy(*group).agg(
         F.sum("n").alias("completed"),
         F.sum(F.when(cents > 0, n).otherwise(0)).alias("hits"),
@@ -71,7 +76,8 @@ def horizon_scorecard(
         F.sum(exact * weight).alias("sum_cents"),
         F.sum((exact * exact).cast("decimal(28,0)") * weight).alias("sum_squares"),
         F.min("cents").alias("least"),
-        F.percentile("cents", 0.5, n).alias("median_cents"),
+        F.min(F.when(c("running") >= c("everything"), cents)).alias("low_middle"),
+        F.min(F.when(c("running") > c("everything"), cents)).alias("high_middle"),
         *(
             F.sum(name).alias(name)
             for name in ("benchmark_cents", "benchmarks", "excess_cents", "excesses", "excess_hits")
@@ -84,7 +90,9 @@ def horizon_scorecard(
         "completed",
         _share("hits", "completed").alias("hit_rate_pct"),
         _mean("sum_cents", "completed").alias("average_return_pct"),
-        round_dp(c("median_cents") / 100.0, 2).alias("median_return_pct"),
+        round_dp((c("low_middle") / 100.0 + c("high_middle") / 100.0) / 2.0, 2).alias(
+            "median_return_pct"
+        ),
         round_dp(c("least") / 100.0, 2).alias("worst_return_pct"),
         _share("losses", "completed").alias("loss_rate_pct"),
         "large_loser_count",
