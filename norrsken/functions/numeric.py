@@ -57,7 +57,9 @@ def compact_number(x: Column) -> Column:
 
 def fixed_text(x: Column, digits: int) -> Column:
     """Fixed number of decimals, rounded by the exact binary value."""
-    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", round_dp(x, digits)))
+    sign = F.when(x < 0, "-").otherwise("")
+    digits_text = F.format_string(f"%.{digits}f", round_dp(F.abs(x), digits))
+    return F.when(x.isNotNull(), F.concat(sign, digits_text))
 
 
 def percent_text(x: Column, signed: bool = False) -> Column:
@@ -102,22 +104,6 @@ def eur_rate(currency: Column, rates: Mapping[str, float] = EUR_RATES) -> Column
     return F.try_element_at(known, F.upper(currency))
 
 
-def eur_millions(amount: Column, rate: Column) -> Column:
-    return round_dp(amount * rate / 1_000_000.0, 2)
-
-
-def millions_to_eur(amount: Column, rate: Column) -> Column:
-    return round_dp(amount * rate, 2)
-
-
-def percent(ratio: Column) -> Column:
-    return round_dp(ratio * 100.0, 2)
-
-
-def ratio_to_percent(x: Column) -> Column:
+def as_percent(x: Column) -> Column:
     """Values from -1 to 1 are ratios; others are percentages already."""
-    return round_dp(F.when(x.between(-1.0, 1.0), x * 100.0).otherwise(x), 2)
-
-
-def percent_to_ratio(x: Column) -> Column:
-    return round_dp(x / 100.0, 4)
+    return F.when(x.between(-1.0, 1.0), x * 100.0).otherwise(x)

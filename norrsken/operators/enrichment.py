@@ -18,10 +18,6 @@ MEANINGFUL_COLUMNS = (
 )
 
 
-def meaningful() -> Column:
-    return F.coalesce(*(F.col(name) for name in MEANINGFUL_COLUMNS)).isNotNull()
-
-
 def with_candidates(companies: DataFrame) -> DataFrame:
     """One row per company and lookup symbol, ``attempt`` counting from 0."""
     candidates = symbol_candidates(F.col("ticker"), F.col("country"))
@@ -31,10 +27,11 @@ def with_candidates(companies: DataFrame) -> DataFrame:
 def first_hits(companies: DataFrame, fundamentals: DataFrame) -> DataFrame:
     """Per company the first candidate symbol with a usable payload.
 
-    ``companies`` has one row per (ticker, country); at most two candidates each reach the
-    grouping, so no group grows with the data.
+    ``fundamentals`` holds usable payloads only, as the parsers return them. ``companies`` has one
+    row per (ticker, country); at most two candidates each reach the grouping, so no group grows
+    with the data.
     """
-    usable = fundamentals.where(meaningful()).withColumn("join_symbol", F.upper("symbol"))
+    usable = fundamentals.withColumn("join_symbol", F.upper("symbol"))
     attempts = with_candidates(companies.select("ticker", "country")).select(
         "ticker", "country", "attempt", F.upper("symbol").alias("join_symbol")
     )

@@ -74,7 +74,7 @@ def watchlist(
     names = normalise_strategies(strategies)
     by = ["strategy", *run_columns]
     filtered = company_filter(
-        research, countries, include_first_north, min_market_cap, max_market_cap, sector
+        research.select(*RESEARCH_COLUMNS, *run_columns), countries, include_first_north, min_market_cap, max_market_cap, sector
     )
     scored = scored_ideas(filtered, names)
     order = final_order(names)

@@ -10,25 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from norrsken.functions.numeric import (
-    eur_millions,
-    eur_rate,
-    millions_to_eur,
-    number,
-    payload_number,
-    percent,
-    percent_to_ratio,
-    ratio_to_percent,
-    round_dp,
-)
+from norrsken.functions.numeric import as_percent, eur_rate, number, payload_number, round_dp
 from norrsken.functions.text import clean_text
-from norrsken.operators.enrichment import FUNDAMENTAL_COLUMNS, meaningful
+from norrsken.operators.enrichment import FUNDAMENTAL_COLUMNS, MEANINGFUL_COLUMNS
 from norrsken.schemas import null_of
 
 # --- fixed values: evidence labels and links ------------------------------------------------
 QUOTE_SUMMARY_URL = (
-    "https://query1.finance.yahoo.com/v10/finance/quoteSummary/%s"
-    "?modules=price,summaryDetail,financialData"
+    "https://query1.finance.yahoo.com/v10/finance/quoteSummary/",
+    "?modules=price,summaryDetail,financialData",
 )
 METRICS_DOC_URL = "https://finnhub.io/docs/api/company-profile2"
 SEARCH_DOC_URL = "https://developers.finimpulse.com/v1/search/"
@@ -45,21 +35,35 @@ def _rate(currency: Column) -> Column:
     return eur_rate(F.coalesce(stated, F.col("fallback_currency"), F.lit("")))
 
 
-def _snapshot(df: DataFrame, source: str, url: Column, **known: Column) -> DataFrame:
+def _snapshot(values: DataFrame, source: str, url: Column, **rounding) -> DataFrame:
+    """Fundamentals rows from unrounded values; rows without any value are dropped before rounding.
+
+    ``values`` has symbol and some of the fundamentals columns. ``rounding`` maps columns to
+    functions that keep nulls.
+    """
     label = F.concat(F.lit(f"{SOURCE_LABELS[source]} fundamentals lookup ("), F.col("symbol"), F.lit(")"))
     evidence = F.struct(
         label.alias("label"), url.alias("url"), F.lit(source).alias("source"),
         null_of("string").alias("timestamp"),
     )
-    kinds = {"business_description": "string", "ir_url": "string"}
-    return df.select(
-        "symbol",
-        *(
-            known.get(name, null_of(kinds.get(name, "double"))).alias(name)
-            for name in FUNDAMENTAL_COLUMNS
-        ),
-        evidence.alias("evidence_item"),
-    ).where(meaningful())
+    have = set(values.columns)
+    known = [F.col(n) for n in MEANINGFUL_COLUMNS if n in have]
+    columns = []
+    for name in FUNDAMENTAL_COLUMNS:
+        kind = "string" if name in ("business_description", "ir_url") else "double"
+        value = F.col(name) if name in have else null_of(kind)
+        columns.append(rounding[name](value).alias(name) if name in rounding else value.alias(name))
+    return values.where(F.coalesce(*known).isNotNull()).select(
+        "symbol", *columns, evidence.alias("evidence_item")
+    )
+
+
+def _two(x: Column) -> Column:
+    return round_dp(x, 2)
+
+
+def _four(x: Column) -> Column:
+    return round_dp(x, 4)
 
 
 def _texts(*names: str) -> StructType:
@@ -86,43 +90,46 @@ _QUOTE_SUMMARY_PAYLOAD = StructType(
 
 
 def parse_quote_summary(payloads: DataFrame) -> DataFrame:
-    """Quote-summary payload. The text is parsed once, into the fields that are used."""
-    parsed = F.from_json("payload", _QUOTE_SUMMARY_PAYLOAD)["quoteSummary"]["result"]
-    first = payloads.select("symbol", "fallback_currency", F.get(parsed, 0).alias("r")).where(
-        "r is not null"
+    """Quote-summary payload.
+
+    The first result is taken by an explode, so that every text is parsed exactly once and later
+    filters cannot pull the parsing into their conditions.
+    """
+    results = F.from_json("payload", _QUOTE_SUMMARY_PAYLOAD)["quoteSummary"]["result"]
+    first = payloads.select(
+        "symbol", "fallback_currency", F.explode(F.slice(results, 1, 1)).alias("r")
     )
-    r = F.col("r")
+    r, rate = F.col("r"), F.col("rate")
 
     def raw(section: str, key: str) -> Column:
         return payload_number(r[section][key])
 
-    df = first.select(
+    values = first.withColumn("rate", _rate(r["price"]["currency"])).select(
         "symbol",
-        _rate(r["price"]["currency"]).alias("rate"),
-        raw("price", "marketCap").alias("cap"),
-        raw("summaryDetail", "trailingPE").alias("pe"),
-        raw("summaryDetail", "priceToBook").alias("pb"),
-        raw("summaryDetail", "averageDailyVolume10Day").alias("volume"),
-        raw("summaryDetail", "previousClose").alias("close"),
-        raw("financialData", "revenueGrowth").alias("growth"),
-        raw("financialData", "operatingMargins").alias("margin"),
-        raw("financialData", "debtToEquity").alias("debt_pct"),
-        raw("financialData", "totalCash").alias("cash"),
-        raw("financialData", "totalDebt").alias("debt"),
+        (raw("price", "marketCap") * rate / 1_000_000.0).alias("market_cap_eur_m"),
+        raw("summaryDetail", "trailingPE").alias("pe_ratio"),
+        raw("summaryDetail", "priceToBook").alias("price_to_book"),
+        (raw("financialData", "revenueGrowth") * 100.0).alias("revenue_growth_pct"),
+        (raw("financialData", "operatingMargins") * 100.0).alias("operating_margin_pct"),
+        (raw("financialData", "debtToEquity") / 100.0).alias("debt_to_equity"),
+        (
+            (raw("financialData", "totalCash") - raw("financialData", "totalDebt"))
+            * rate / 1_000_000.0
+        ).alias("net_cash_eur_m"),
+        (
+            raw("summaryDetail", "averageDailyVolume10Day")
+            * raw("summaryDetail", "previousClose") * rate
+        ).alias("average_daily_value_eur"),
     )
-    c, rate = F.col, F.col("rate")
     return _snapshot(
-        df,
+        values,
         "yahoo",
-        F.format_string(QUOTE_SUMMARY_URL.replace("%s", "%1$s"), F.url_encode(c("symbol"))),
-        market_cap_eur_m=eur_millions(c("cap"), rate),
-        pe_ratio=c("pe"),
-        price_to_book=c("pb"),
-        revenue_growth_pct=percent(c("growth")),
-        operating_margin_pct=percent(c("margin")),
-        debt_to_equity=percent_to_ratio(c("debt_pct")),
-        net_cash_eur_m=eur_millions(c("cash") - c("debt"), rate),
-        average_daily_value_eur=c("volume") * c("close") * rate,
+        F.concat(F.lit(QUOTE_SUMMARY_URL[0]), F.url_encode("symbol"), F.lit(QUOTE_SUMMARY_URL[1])),
+        market_cap_eur_m=_two,
+        revenue_growth_pct=_two,
+        operating_margin_pct=_two,
+        debt_to_equity=_four,
+        net_cash_eur_m=_two,
     )
 
 
@@ -153,29 +160,27 @@ _METRICS_PAYLOAD = StructType(
 def parse_profile_metrics(payloads: DataFrame) -> DataFrame:
     """Profile and metrics payload; of alternative keys the first number counts."""
     parsed = payloads.select(
-        "symbol", "fallback_currency", F.from_json("payload", _METRICS_PAYLOAD).alias("r")
+        "symbol", "fallback_currency",
+        F.explode(F.array(F.from_json("payload", _METRICS_PAYLOAD))).alias("r"),
     )
     r = F.col("r")
-    df = parsed.select(
+
+    def metric(name: str) -> Column:
+        keys = _METRIC_ALTERNATIVES[name]
+        return F.coalesce(*(number(r["metrics"]["metric"][k]) for k in keys))
+
+    cap = number(r["profile"]["marketCapitalization"]) * _rate(r["profile"]["currency"])
+    values = parsed.select(
         "symbol",
-        _rate(r["profile"]["currency"]).alias("rate"),
-        number(r["profile"]["marketCapitalization"]).alias("cap"),
-        *(
-            F.coalesce(*(number(r["metrics"]["metric"][k]) for k in keys)).alias(name)
-            for name, keys in _METRIC_ALTERNATIVES.items()
-        ),
+        cap.alias("market_cap_eur_m"),
+        metric("pe").alias("pe_ratio"),
+        metric("pb").alias("price_to_book"),
+        metric("growth").alias("revenue_growth_pct"),
+        metric("margin").alias("operating_margin_pct"),
+        (metric("debt_pct") / 100.0).alias("debt_to_equity"),
     )
-    c = F.col
     return _snapshot(
-        df,
-        "finnhub",
-        F.lit(METRICS_DOC_URL),
-        market_cap_eur_m=millions_to_eur(c("cap"), c("rate")),
-        pe_ratio=c("pe"),
-        price_to_book=c("pb"),
-        revenue_growth_pct=c("growth"),
-        operating_margin_pct=c("margin"),
-        debt_to_equity=percent_to_ratio(c("debt_pct")),
+        values, "finnhub", F.lit(METRICS_DOC_URL), market_cap_eur_m=_two, debt_to_equity=_four
     )
 
 
@@ -193,32 +198,36 @@ def _matching_item(payloads: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     own = F.filter(
         result["result"]["items"], lambda x: F.upper(x["symbol"]) == F.upper(F.col("symbol"))
     )
-    return payloads.withColumn("item", F.get(own, 0)).where("item is not null")
+    return payloads.select(
+        "symbol", "fallback_currency", F.explode(F.slice(own, 1, 1)).alias("item")
+    )
 
 
 def parse_search(payloads: DataFrame) -> DataFrame:
     df = _matching_item(payloads, _SEARCH_KEYS)
-    item = F.col("item")
-    rate = _rate(item["currency"])
-    value = number(item["regular_market_price"]) * number(item["average_daily_volume_10_day"])
-    shaped = df.select(
+    item, rate = F.col("item"), F.col("rate")
+    values = df.withColumn("rate", _rate(item["currency"])).select(
         item["symbol"].alias("symbol"),
-        rate.alias("rate"),
-        value.alias("traded"),
-        *(number(item[key]).alias(key) for key in _SEARCH_KEYS if key != "currency"),
+        (number(item["amount"]) * rate / 1_000_000.0).alias("market_cap_eur_m"),
+        as_percent(number(item["revenue_growth"])).alias("revenue_growth_pct"),
+        as_percent(
+            F.coalesce(number(item["net_margin"]), number(item["free_cash_flow_margin"]))
+        ).alias("operating_margin_pct"),
+        number(item["debt_to_equity"]).alias("debt_to_equity"),
+        number(item["one_year_return"]).alias("one_year_return_pct"),
+        number(item["fifty_two_week_high_change_percent"]).alias("distance_from_52w_high_pct"),
+        (
+            number(item["regular_market_price"]) * number(item["average_daily_volume_10_day"]) * rate
+        ).alias("average_daily_value_eur"),
     )
-    c = F.col
     return _snapshot(
-        shaped,
+        values,
         "finimpulse",
         F.lit(SEARCH_DOC_URL),
-        market_cap_eur_m=eur_millions(c("amount"), c("rate")),
-        revenue_growth_pct=ratio_to_percent(c("revenue_growth")),
-        operating_margin_pct=ratio_to_percent(F.coalesce("net_margin", "free_cash_flow_margin")),
-        debt_to_equity=c("debt_to_equity"),
-        one_year_return_pct=c("one_year_return"),
-        distance_from_52w_high_pct=c("fifty_two_week_high_change_percent"),
-        average_daily_value_eur=round_dp(c("traded") * c("rate"), 2),
+        market_cap_eur_m=_two,
+        revenue_growth_pct=_two,
+        operating_margin_pct=_two,
+        average_daily_value_eur=_two,
     )
 
 

@@ -118,7 +118,9 @@ def report_documents(items: DataFrame, metadata: Column, checks: DataFrame) -> D
     """
     entries = [n for n in items.columns if n != "strategy"]
     listed = items.groupBy("strategy").agg(
-        F.array_sort(F.collect_list(F.struct(*entries))).alias("items")
+        F.array_sort(
+            F.collect_list(F.struct(*entries)), lambda a, b: a["rank"] - b["rank"]
+        ).alias("items")
     )
     detail = checks.agg(
         F.collect_list(
