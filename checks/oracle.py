@@ -631,7 +631,7 @@ union all select ticker, country, 1, replace(ticker, ' ', '') || {suffix} from l
     add("fundamentals_merge", blank + f"""
 select ticker, country, market_cap_eur_m, {', '.join(METRICS)}, data_quality, n_evidence from ({merged('research', 'true')})""")
     two = ("balanced", "long-term")
-    second = re.sub(r"\b(base|valued|quality|gated|scored|proxies_valued|ideas)\b", r"\1_2",
+    second = re.sub(r"(?<!data )\b(base|valued|quality|gated|scored|proxies_valued|ideas)\b", r"\1_2",
                     scored_ctes("rebuilt", two, ", n_evidence, chosen_for") + "," + deduped(where="strategy = chosen_for"))
     add("watchlist_enriched", blank + "," + scored_ctes("research", two) + "," + deduped() + ","
         + quota(20, {"FI": 12}, by_score, "ideas", "first_choice") + f""",

@@ -47,7 +47,9 @@ def compact_number(x: Column) -> Column:
     shown = _round_scaled(x, scale)
     plain = _trim_zeros(shown.try_cast("decimal(30,10)").cast("string"))
     # Mantissa and exponent form, for magnitudes of 1e6 and above or below 1e-4.
-    scientific = F.regexp_replace(F.format_string("%.5e", x), r"\.?0*e", "e")
+    unit = F.pow(F.lit(10.0), exponent - F.lit(5))
+    six_digits = F.when(exponent > 5, F.rint(x / unit) * unit).otherwise(x)
+    scientific = F.regexp_replace(F.format_string("%.5e", six_digits), r"\.?0*e", "e")
     return (
         F.when(x == 0, "0")
         .when((F.abs(x) >= 0.0001) & (F.abs(x) < 999999.5), plain)

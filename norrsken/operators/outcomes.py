@@ -177,15 +177,13 @@ def update_due(
 ) -> DataFrame:
     """One run: settle not-due rows whose due date has come; all other states are final.
 
-    Without any quote on the day (no price source), rows due that day stay not due.
+    A company without quote on the day is a missing price. A run without any price source is not
+    a run: callers leave it out, so that rows due that day stay open.
     """
     c = F.col
     today = F.lit(as_of).cast("date")
     day_quotes = quotes.where(c("quote_date") == today)
-    have_quotes = day_quotes.agg((F.count("*") > 0).alias("any")).scalar()
-    moves = (c("status") == K.NOT_DUE) & (
-        (c("due_date") < today) | ((c("due_date") == today) & have_quotes)
-    )
+    moves = (c("status") == K.NOT_DUE) & (c("due_date") <= today)
     entry = picks.select(
         "pick_id", "report_date", "ticker", "country", "entry_price", "entry_currency"
     )

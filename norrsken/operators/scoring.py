@@ -233,8 +233,8 @@ def strategy_scores(research: DataFrame, strategies: str | Sequence[str] = K.STR
         name for name in df.columns
         if name not in (*SCORE_COLUMNS, "catalyst_text", "risk_text", "signal_text")
     ]
-    exploded = df.select(
-        *rest, (scores[0] if len(scores) == 1 else F.explode(F.array(*scores))).alias("score")
-    )
+    # The explode also keeps the optimizer from inlining the score expressions into the total and
+    # into every later filter, which would grow the plan exponentially.
+    exploded = df.select(*rest, F.explode(F.array(*scores)).alias("score"))
     parts = [_total().alias("total") if n == "total" else F.col(f"score.{n}") for n in SCORE_COLUMNS]
     return exploded.select(*rest, "score.strategy", *parts)

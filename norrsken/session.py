@@ -8,9 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
+def local_session(
+    cores: int | str = 8, shuffle_partitions: int = 8, checkpoint_dir: str | None = None
+) -> SparkSession:
     """A local session for tests and the benchmark. Clusters bring their own session."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("norrsken")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -19,8 +21,10 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
-        .getOrCreate()
     )
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

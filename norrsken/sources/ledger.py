@@ -133,7 +133,10 @@ class Ledger:
         self._overwrite("outcomes", settled)
 
     def update(self, reports_picks: DataFrame, quotes: DataFrame | None, as_of: dt.date) -> None:
-        """One run: picks, then the snapshot, then outcomes (which need the snapshot)."""
+        """One run: picks, then the snapshot, then outcomes (which need the snapshot).
+
+        Without a price source (None) nothing is settled and due rows stay open.
+        """
         self.add_picks(reports_picks)
         if quotes is not None:
             self.record_snapshot(quotes, as_of)
