@@ -21,6 +21,8 @@ def local_session(
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        # Recording the Python call site of every column call costs more than building the plans.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if checkpoint_dir:
         builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
