@@ -6,11 +6,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from norrsken import constants as K
-from norrsken.functions.numeric import market_number
+from norrsken.functions.numeric import finite, market_number
 from norrsken.functions.text import clean_key, isin_country, listing_segment, non_empty, strip
 from norrsken.operators.ranking import numbered
 from norrsken.operators.signals import with_live_signals
-from norrsken.schemas import CURATED_COMPANY, EVIDENCE, RESEARCH, SCREENER_ENVELOPE, conform, null_of
+from norrsken.schemas import (
+    CURATED_COMPANY,
+    EVIDENCE,
+    METRIC_COLUMNS,
+    RESEARCH,
+    SCREENER_ENVELOPE,
+    conform,
+    null_of,
+)
 
 # --- fixed values ---------------------------------------------------------------------------
 SCREENER_SOURCE = "nasdaq_nordic_screener"
@@ -142,12 +150,12 @@ def read_curated(spark: SparkSession, path: str) -> DataFrame:
 def curated_research(raw: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     no_evidence = F.array().cast(f"array<{EVIDENCE.simpleString()}>")
+    # Numbers that are not finite are unknown: Spark orders NaN above every number.
     flat = raw.select(
         "*", F.col("currency").alias("listing_currency"),
-        *(
-            F.col(f"financials.{f.name}").alias("price_currency" if f.name == "currency" else f.name)
-            for f in raw.schema["financials"].dataType.fields
-        ),
+        F.col("financials.currency").alias("price_currency"),
+        F.col("financials.data_quality").alias("data_quality"),
+        *(finite(F.col(f"financials.{n}")).alias(n) for n in ("price", *METRIC_COLUMNS)),
     ).drop("currency", "financials")
     return conform(
         flat.withColumns(

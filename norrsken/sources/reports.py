@@ -105,7 +105,10 @@ def report_items(ranked: DataFrame) -> DataFrame:
     ]
     if "conviction" in ranked.columns:
         columns += [
-            F.col("conviction").alias("long_term_conviction"), F.col("gate").alias("long_term_gate")
+            F.col("conviction").alias("long_term_conviction"),
+            F.col("gate")
+            .withField("valuation.primary_value", finite(F.col("gate.valuation.primary_value")))
+            .alias("long_term_gate"),
         ]
     return ranked.select(*columns)
 
