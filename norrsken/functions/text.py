@@ -53,10 +53,14 @@ def has_signal(joined: Column, needle: str) -> Column:
     return F.coalesce(joined.contains(needle.lower()), F.lit(False))
 
 
-def dedupe_texts(items: Column) -> Column:
-    """Keep the first of items that are equal without case and outer blanks."""
-    keys = F.transform(items, lambda x: F.lower(strip(x)))
-    return F.filter(items, lambda x, i: F.array_position(keys, F.lower(strip(x))) == i + 1)
+def text_keys(items: Column) -> Column:
+    """What makes texts equal: no case, no outer blanks."""
+    return F.transform(items, lambda x: F.lower(strip(x)))
+
+
+def distinct_texts(items: Column, keys: Column) -> Column:
+    """The first item per key. Pass ``keys`` as a column, as it is read for every item."""
+    return F.filter(items, lambda x, i: F.array_position(keys, keys[i]) == i + 1)
 
 
 def listing_segment(raw: Column) -> Column:

@@ -114,7 +114,7 @@ def balance_sheet() -> Column:
 
 def momentum() -> Column:
     year, distance = F.col("one_year_return_pct"), F.col("distance_from_52w_high_pct")
-    joined = searchable(F.concat("catalysts", "risks", "reasons", "warnings"))
+    joined = F.col("all_signals")
     trading = (
         has_signal(joined, "intraday")
         | has_signal(joined, "live turnover")
@@ -140,8 +140,7 @@ def momentum() -> Column:
 
 
 def risk() -> Column:
-    shown = public_risks(F.concat("risks", "warnings"))
-    joined = F.lower(F.array_join(shown, " "))
+    shown, joined = F.col("shown_risks"), F.col("shown_risk_text")
     return first_match(
         (
             has_signal(joined, "extreme intraday spike") | has_signal(joined, "speculative low-price"),
@@ -184,6 +183,13 @@ def data_confidence() -> Column:
 def with_components(scored: DataFrame) -> DataFrame:
     """Adds ``components``, an array of (name, score, view) in fixed order."""
     df = scored if "gate" in scored.columns else with_gate(scored)
+    # Texts that several branches search are columns of their own, built once per row.
+    df = df.withColumns(
+        {
+            "all_signals": searchable(F.concat("catalysts", "risks", "reasons", "warnings")),
+            "shown_risks": public_risks(F.concat("risks", "warnings")),
+        }
+    ).withColumn("shown_risk_text", F.lower(F.array_join("shown_risks", " ")))
     parts = zip(
         COMPONENTS,
         (
@@ -204,7 +210,8 @@ def with_components(scored: DataFrame) -> DataFrame:
         )
     )
     return df.withColumn("components", listed).drop(
-        *(f"component_{i}" for i in range(len(COMPONENTS)))
+        "all_signals", "shown_risks", "shown_risk_text",
+        *(f"component_{i}" for i in range(len(COMPONENTS))),
     )
 
 

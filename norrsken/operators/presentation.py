@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from norrsken.functions.numeric import compact_number, fixed_text
 from norrsken.functions.text import texts
 
 
-def company_presentation() -> Column:
-    """One sentence on the listing, a second with up to four facts."""
+def with_presentation(df: DataFrame, name: str = "company_presentation") -> DataFrame:
+    """Adds one sentence on the listing and a second with up to four facts."""
     c = F.col
     country = (
         F.when(F.upper("country") == "SE", "Sweden")
@@ -39,18 +39,18 @@ def company_presentation() -> Column:
         share("operating margin", "operating_margin_pct"),
         share("one-year return", "one_year_return_pct"),
     )
-    n = F.size(facts)
+    n = F.size("facts")
     listed = (
-        F.when(n == 1, F.get(facts, 0))
-        .when(n == 2, F.array_join(facts, " and "))
+        F.when(n <= 2, F.array_join("facts", " and "))
         .otherwise(
             F.concat(
-                F.array_join(F.slice(facts, 1, F.greatest(n - 1, F.lit(0))), ", "),
-                F.lit(", and "), F.element_at(facts, -1),
+                F.array_join(F.slice("facts", 1, F.greatest(n - 1, F.lit(0))), ", "),
+                F.lit(", and "), F.get("facts", n - 1),
             )
         )
     )
-    return F.when(n == 0, base).otherwise(F.concat(base, F.lit(" "), listed, F.lit(".")))
+    sentence = F.concat_ws(" ", base, F.when(n > 0, F.concat(listed, F.lit("."))))
+    return df.withColumn("facts", facts).withColumn(name, sentence).drop("facts")
 
 
 def business_summary() -> Column:

@@ -135,9 +135,7 @@ def _gap_rules() -> list[Rule]:
         Rule(~has_text(c("business_description")), 5.0, "Missing business description"),
         Rule(daily < 100_000, 7.0, "Thin liquidity"),
         Rule(daily.isNull(), 6.0, "Missing liquidity data"),
-        Rule(
-            live_only_terms(c("catalysts")) & ~durable_support(), 12.0, "Only live-market support"
-        ),
+        Rule(c("live_only"), 12.0, "Only live-market support"),
         Rule(c("data_quality") == "thin", 8.0, "Thin data quality"),
     ]
 
@@ -192,7 +190,8 @@ def with_quality(research: DataFrame) -> DataFrame:
     """Adds valuation, quality_adjustment, proof_penalty, quality_reasons, proof_gaps, bucket."""
     added, gaps = _quality_rules(), _gap_rules()
     df = with_valuation(research) if "valuation" not in research.columns else research
-    df = df.withColumns(
+    live_only = live_only_terms(F.col("catalysts")) & ~durable_support()
+    df = df.withColumn("live_only", live_only).withColumns(
         {
             "quality_adjustment": total_points(added),
             "quality_reasons": fired_texts(added),
@@ -203,7 +202,7 @@ def with_quality(research: DataFrame) -> DataFrame:
     # Partial data costs points only together with a gap, and leaves no text.
     partial = F.when((F.col("data_quality") == "partial") & (F.size("proof_gaps") > 0), 3.0)
     df = df.withColumn("proof_penalty", F.col("gap_points") + F.coalesce(partial, F.lit(0.0)))
-    return df.drop("gap_points").withColumn("bucket", _bucket())
+    return df.drop("gap_points", "live_only").withColumn("bucket", _bucket())
 
 
 def with_thesis(df: DataFrame) -> DataFrame:

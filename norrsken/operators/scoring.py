@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from norrsken import constants as K
 from norrsken.functions.numeric import compact_number, round_dp
 from norrsken.functions.rules import Rule, fired_texts, total_points
-from norrsken.functions.text import dedupe_texts, has_signal, searchable
+from norrsken.functions.text import distinct_texts, has_signal, searchable, text_keys
 from norrsken.operators import signals
 from norrsken.operators.quality import with_gate, with_quality
 from norrsken.schemas import SCORE_COLUMNS
@@ -104,30 +104,55 @@ def with_base_score(research: DataFrame) -> DataFrame:
     )
 
 
+def _signal_flags() -> dict[str, Column]:
+    """What the strategies ask of the signal texts, each searched once per company."""
+    catalysts, risks = searchable(F.col("catalysts")), searchable(F.col("risks"))
+
+    def anywhere(needle: str) -> Column:
+        return has_signal(catalysts, needle) | has_signal(risks, needle)
+
+    return {
+        "flag_spike": anywhere(K.EXTREME_SPIKE),
+        "flag_risk_spike": has_signal(risks, K.EXTREME_SPIKE),
+        "flag_missing_turnover": anywhere(K.MISSING_TURNOVER),
+        "flag_low_turnover": anywhere(K.LOW_TURNOVER),
+        "flag_low_price": anywhere(K.LOW_PRICE),
+        "flag_high_turnover": has_signal(catalysts, K.HIGH_TURNOVER),
+        "flag_moderate_turnover": has_signal(catalysts, K.MODERATE_TURNOVER),
+        "flag_strong": has_signal(catalysts, K.STRONG_MOMENTUM),
+        "flag_intraday": anywhere("intraday momentum"),
+        "flag_anchor": fundamental_anchor(),
+        "flag_trading_reasons": F.filter("reasons", signals.is_trading_relevant),
+        "flag_lasting_reasons": F.filter("reasons", lambda x: ~signals.is_trading_only(x)),
+        "flag_lasting_catalysts": F.size(
+            F.filter("catalysts", lambda x: ~signals.is_trading_only(x))
+        ),
+    }
+
+
 def _adjustments(strategy: str) -> tuple[Column, Column]:
-    """Points added to catalyst and to risk. The caller has put the joined signals in place."""
-    catalysts, both = F.col("catalyst_text"), F.col("signal_text")
-    spike, missing = has_signal(both, K.EXTREME_SPIKE), has_signal(both, K.MISSING_TURNOVER)
+    """Points added to catalyst and to risk."""
+    c = F.col
     down = [
-        Rule(spike, 18.0), Rule(missing, 12.0), Rule(has_signal(both, K.LOW_TURNOVER), 10.0),
-        Rule(has_signal(both, K.LOW_PRICE), 8.0),
+        Rule(c("flag_spike"), 18.0), Rule(c("flag_missing_turnover"), 12.0),
+        Rule(c("flag_low_turnover"), 10.0), Rule(c("flag_low_price"), 8.0),
     ]
     up: list[Rule] = []
     if strategy == "trading":
         up = [
-            Rule(has_signal(catalysts, K.HIGH_TURNOVER), 6.0),
-            Rule(has_signal(catalysts, K.MODERATE_TURNOVER), 3.0),
-            Rule(has_signal(catalysts, K.STRONG_MOMENTUM), 5.0),
+            Rule(c("flag_high_turnover"), 6.0), Rule(c("flag_moderate_turnover"), 3.0),
+            Rule(c("flag_strong"), 5.0),
         ]
-        down.append(Rule(spike, 8.0))
+        down.append(Rule(c("flag_spike"), 8.0))
     elif strategy == "discovery":
-        up = [Rule(F.col("segment") == "first_north", 4.0)]
-        down.append(Rule(spike | missing, 10.0))
+        up = [Rule(c("segment") == "first_north", 4.0)]
+        down.append(Rule(c("flag_spike") | c("flag_missing_turnover"), 10.0))
     return (total_points(up) if up else F.lit(0.0)), total_points(down)
 
 
-def _noted(items: Column, test: Column, note: str) -> Column:
-    return F.when(test, F.concat(items, F.array(F.lit(note)))).otherwise(items)
+def _note(test: Column, note: str) -> Column:
+    """The note as an array to append, empty where the test does not hold."""
+    return F.when(test, F.array(F.lit(note))).otherwise(F.array().cast("array<string>"))
 
 
 def _score(strategy: str, **parts: Column) -> Column:
@@ -150,7 +175,7 @@ def _adjusted_score(strategy: str) -> Column:
     if strategy == "trading":
         value = round_dp(value * TRADING_VALUE_WEIGHT, 2)
         discovery = round_dp(discovery * TRADING_DISCOVERY_WEIGHT, 2)
-        reasons = F.filter(reasons, signals.is_trading_relevant)
+        reasons = c("flag_trading_reasons")
     up, down = (F.lit(0.0), F.lit(0.0)) if strategy == "momentum" else _adjustments(strategy)
     note = f"{strategy} strategy adjustment applied"
     return _score(
@@ -160,8 +185,8 @@ def _adjusted_score(strategy: str) -> Column:
         catalyst=c("catalyst") + up,
         risk_penalty=c("risk_penalty") + down,
         data_quality_penalty=c("data_quality_penalty"),
-        reasons=_noted(reasons, up != 0, note),
-        warnings=_noted(c("warnings"), down != 0, note),
+        reasons=F.concat(reasons, _note(up != 0, note)),
+        warnings=F.concat("warnings", _note(down != 0, note)),
     )
 
 
@@ -177,31 +202,27 @@ def fundamental_anchor() -> Column:
 
 def _long_term_score() -> Column:
     c = F.col
-    durable = F.size(F.filter("catalysts", lambda x: ~signals.is_trading_only(x)))
-    intraday = has_signal(c("signal_text"), "intraday momentum")
-    spike = has_signal(c("risk_text"), K.EXTREME_SPIKE)
-    unanchored = intraday & ~fundamental_anchor()
+    durable = c("flag_lasting_catalysts")
+    intraday, spike = c("flag_intraday"), c("flag_risk_spike")
+    unanchored = intraday & ~c("flag_anchor")
     risk = c("risk_penalty") + c("proof_penalty") + total_points(
         [Rule(intraday, 18.0), Rule(spike, 18.0), Rule(unanchored, 12.0)]
     )
     promoted = c("gate.tier").isin(K.TIER_HIGH, K.TIER_WATCHLIST)
-    gate_note = F.concat(F.lit("Gate tier: "), c("gate.tier"))
+    gate_note = F.array(F.concat(F.lit("Gate tier: "), c("gate.tier")))
     none = F.array().cast("array<string>")
     reasons = F.concat(
-        F.filter("reasons", lambda x: ~signals.is_trading_only(x)),
-        F.when(promoted, F.array(gate_note)).otherwise(none),
+        c("flag_lasting_reasons"),
+        F.when(promoted, gate_note).otherwise(none),
         F.array("bucket"),
         c("quality_reasons"),
     )
     warnings = F.concat(
-        _noted(
-            _noted(
-                F.concat("warnings", "proof_gaps"), intraday | spike,
-                "long-term strategy penalty applied",
-            ),
-            unanchored, "missing long-term fundamental support",
-        ),
-        F.when(promoted, none).otherwise(F.array(gate_note)),
+        c("warnings"),
+        c("proof_gaps"),
+        _note(intraday | spike, "long-term strategy penalty applied"),
+        _note(unanchored, "missing long-term fundamental support"),
+        F.when(promoted, none).otherwise(gate_note),
     )
     return _score(
         "long-term",
@@ -210,8 +231,8 @@ def _long_term_score() -> Column:
         catalyst=F.least(durable * 8.0, F.lit(16.0)) + c("quality_adjustment"),
         risk_penalty=risk,
         data_quality_penalty=c("data_quality_penalty"),
-        reasons=dedupe_texts(reasons),
-        warnings=dedupe_texts(warnings),
+        reasons=reasons,
+        warnings=warnings,
     )
 
 
@@ -225,16 +246,28 @@ def strategy_scores(research: DataFrame, strategies: str | Sequence[str] = K.STR
     df = with_base_score(research)
     if "long-term" in names:
         df = with_gate(with_quality(df))
-    df = df.withColumns(
-        {"catalyst_text": searchable(F.col("catalysts")), "risk_text": searchable(F.col("risks"))}
-    ).withColumn("signal_text", F.concat_ws("\u0001", "catalyst_text", "risk_text"))
+    flags = _signal_flags()
+    df = df.withColumns(flags)
     scores = [_long_term_score() if s == "long-term" else _adjusted_score(s) for s in names]
-    rest = [
-        name for name in df.columns
-        if name not in (*SCORE_COLUMNS, "catalyst_text", "risk_text", "signal_text")
-    ]
+    rest = [name for name in df.columns if name not in SCORE_COLUMNS and name not in flags]
     # The explode also keeps the optimizer from inlining the score expressions into the total and
-    # into every later filter, which would grow the plan exponentially.
+    # into every later filter, which would grow the plan exponentially. Its argument holds no
+    # lambda functions, so it is compiled.
     exploded = df.select(*rest, F.explode(F.array(*scores)).alias("score"))
     parts = [_total().alias("total") if n == "total" else F.col(f"score.{n}") for n in SCORE_COLUMNS]
-    return exploded.select(*rest, "score.strategy", *parts)
+    flat = exploded.select(*rest, "score.strategy", *parts)
+    if "long-term" not in names:
+        return flat
+    return _with_distinct_texts(flat)
+
+
+def _with_distinct_texts(scored: DataFrame) -> DataFrame:
+    """Long-term texts without repeats. Comparison keys are columns, built once per row."""
+    own = F.col("strategy") == "long-term"
+    keyed = scored.withColumns({f"{n}_keys": text_keys(F.col(n)) for n in ("reasons", "warnings")})
+    return keyed.withColumns(
+        {
+            n: F.when(own, distinct_texts(F.col(n), F.col(f"{n}_keys"))).otherwise(F.col(n))
+            for n in ("reasons", "warnings")
+        }
+    ).drop("reasons_keys", "warnings_keys")

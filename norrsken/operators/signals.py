@@ -11,14 +11,12 @@ from norrsken.functions.text import has_signal, searchable
 
 
 def live_catalysts(price: Column, change: Column, turnover: Column) -> Column:
-    def moved(label: str) -> Column:
-        return F.concat(F.lit(f"{label} (+"), compact_number(change), F.lit("%)"))
-
+    label = F.when(change >= 10.0, K.STRONG_MOMENTUM).otherwise(K.POSITIVE_MOMENTUM)
+    moved = F.concat(label, F.lit(" (+"), compact_number(change), F.lit("%)"))
     return fired_texts(
         [
             Rule(price.isNotNull(), text=K.LIVE_PRICE),
-            Rule(change >= 10.0, text=moved(K.STRONG_MOMENTUM)),
-            Rule((change >= 5.0) & (change < 10.0), text=moved(K.POSITIVE_MOMENTUM)),
+            Rule(change >= 5.0, text=moved),
             Rule(turnover >= 1_000_000, text=K.HIGH_TURNOVER),
             Rule((turnover >= 250_000) & (turnover < 1_000_000), text=K.MODERATE_TURNOVER),
         ]

@@ -12,9 +12,9 @@ from norrsken.operators.presentation import (
     NO_REASON,
     NO_RISK,
     business_summary,
-    company_presentation,
     or_default,
     valuation_view,
+    with_presentation,
 )
 from norrsken.operators.ranking import top_k
 from norrsken.operators.scoring import with_base_score
@@ -37,10 +37,9 @@ def missing_tickers(research: DataFrame, tickers: DataFrame) -> DataFrame:
 def company_profiles(research: DataFrame, tickers: DataFrame | None = None) -> DataFrame:
     """Research, base score and the profile sentences."""
     scored = with_base_score(first_by_ticker(research, tickers))
-    return scored.withColumns(
+    return with_presentation(scored, "presentation").withColumns(
         {
             "business_summary": business_summary(),
-            "presentation": company_presentation(),
             "valuation_view": valuation_view(),
             "why_it_appeared": or_default("reasons", NO_REASON),
             "bull_case": or_default("catalysts", NO_CATALYST),

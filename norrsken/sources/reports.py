@@ -8,7 +8,7 @@ from norrsken import constants as K
 from norrsken.functions.numeric import finite
 from norrsken.functions.text import strip
 from norrsken.operators.outcomes import pick_id
-from norrsken.operators.presentation import company_presentation
+from norrsken.operators.presentation import with_presentation
 from norrsken.operators.ranking import numbered
 from norrsken.schemas import COMPANY_COLUMNS, METRIC_COLUMNS, PICKS, REPORT, SCORE_COLUMNS, conform
 
@@ -98,7 +98,7 @@ def report_items(ranked: DataFrame) -> DataFrame:
     columns = [
         "strategy", "rank",
         company_struct().alias("company"),
-        company_presentation().alias("company_presentation"),
+        "company_presentation",
         financials_struct().alias("financials"),
         F.struct(*SCORE_COLUMNS).alias("score"),
         "risks", "catalysts", "evidence", "data_quality",
@@ -110,7 +110,7 @@ def report_items(ranked: DataFrame) -> DataFrame:
             .withField("valuation.primary_value", finite(F.col("gate.valuation.primary_value")))
             .alias("long_term_gate"),
         ]
-    return ranked.select(*columns)
+    return with_presentation(ranked).select(*columns)
 
 
 def report_documents(items: DataFrame, metadata: Column, checks: DataFrame) -> DataFrame:

@@ -124,7 +124,7 @@ def test_symbol_candidates(spark):
 
 def test_dedupe_texts_keeps_first_spelling(spark):
     rows = column(spark, [["Net cash", " net CASH ", "b", "B ", "a"], []], "array<string>",
-                  d=T.dedupe_texts(c("x")))
+                  d=T.distinct_texts(c("x"), T.text_keys(c("x"))))
     assert [r.d for r in rows] == [["Net cash", "b", "a"], []]
 
 
