@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -47,10 +50,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new, unique folder below the cluster's ``spark.checkpoint.dir``.
 
-    The setting is read from the session. Only where it is unset (tests, a laptop) a local
-    temporary folder stands in, because every executor then shares this machine.
+    The setting is read from the session. Only a local session may lack it: driver and executors are
+    then one process, and a temporary folder stands in until that process ends. On a cluster a missing
+    setting is an error, because executors would write to their own disks.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="norrsken-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
