@@ -12,10 +12,12 @@ parts that differ by one hash), and on empty segments only at last.
 
 Signatures travel as packed arrays by bucket. In a bucket small groups give their pairs; a large group
 gives pairs with two leaders, and its member list. Pairs are verified on the whole sets, best supported
-first, and those whose ends are linked already are left out, since only components are asked for. Large
-groups that then still lie in several components are opened again: first a few partners for each
-member outside the group's largest component, then all such members against the whole group in blocks
-of bounded size. So no link between different components is lost, and no group is expanded into pairs.
+first, and those whose ends are linked already are left out, since only components are asked for. The
+members of large groups that then still lie in several components are regrouped by their rarest hashes,
+which parts what shares no more than a common passage. Groups still in several components are opened:
+each member outside the group's largest component meets all of a small group and a few of a large one,
+then what is left of large groups is held against the whole group in blocks of bounded size. So no link between different components is lost, and
+no group is expanded into pairs.
 
 Defined cases: null text, text without words: empty set, linked with nothing; fewer words than a
 shingle: the whole sequence is one shingle; equal sets are one class, whatever their number; null ids
@@ -39,7 +41,7 @@ from norrsken.llm.components import components
 
 WORDS = 5
 #: Links: 100 * intersection >= 80 * union. The bounds below follow from it.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Ratio of neighbouring size bands.
 BAND_RATIO = 1.25
 #: Segments beyond the H + 1 that the largest probe needs, and the share of segments with one-deletion entries.
@@ -52,8 +54,10 @@ BUCKET = 2_000_000
 LEAST_BUCKETS = 32
 #: Groups up to this size give their pairs at once.
 GROUP = 6
-#: Partners of an unlinked member in the second round, and members of a block in the last.
+#: Second round: groups in which each unlinked member meets all others, and its partners in larger ones.
+MEET_ALL = 40
 PARTNERS = 3
+#: Members of a block in the last round.
 BLOCK = 1000
 
 _INDEX, _PROBE = 1, 2
@@ -142,16 +146,40 @@ class Signatures:
             self.bands[size] = low, high, m, m if high <= SMALL else int(np.ceil(RESERVE * m))
         return self.bands[size]
 
+    def bands_of(self, size: int) -> list[tuple[int, int, int, int]]:
+        """The bands a set is compared in: its own first, then those of smaller sets it can be linked with."""
+        out, at = [], size
+        while at >= -(-4 * size // 5) and at > 0:
+            out.append(self.band(at))
+            at = out[-1][0] - 1
+        return out
+
+    def offset(self, size: int, other: int) -> int:
+        """Where the profile of a set of ``size`` holds the segments of the band of ``other``."""
+        at = 0
+        for band in self.bands_of(size):
+            if band[0] <= other <= band[1]:
+                break
+            at += band[2]
+        return at
+
+    def profile(self, s: np.ndarray) -> bytes:
+        """One byte of each segment's hash, band after band: equal segments have equal bytes."""
+        upto = np.r_[np.uint64(0), np.cumsum(mix64(s))]
+        parts = []
+        for _, _, m, _ in self.bands_of(len(s)):
+            ends = np.searchsorted(((s >> _U32) * np.uint64(m)) >> _U32, np.arange(m, dtype=np.uint64), "right")
+            parts.append((mix64(np.diff(upto[ends], prepend=np.uint64(0))) >> np.uint64(56)).astype(np.uint8))
+        return b"".join(p.tobytes() for p in parts)
+
     def of(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = len(s)
         values, flags = [], []
         mixed = mix64(s)
         upto = np.r_[np.uint64(0), np.cumsum(mixed)]
-        own = self.band(size)
-        least = -(-4 * size // 5)
-        at = size
-        while at >= least:
-            band = self.band(at)
+        bands = self.bands_of(size)
+        own = bands[0]
+        for band in bands:
             low, high, m, reserve = band
             salt = np.uint64(low) * np.uint64(0x9E3779B97F4A7C15)
             # Segments have equal width on the upper half of the hashes, so sorted hashes come in order.
@@ -193,7 +221,6 @@ class Signatures:
                     kind |= np.where(g < reserve, _INDEX, 0).astype(np.uint8)
                 kind |= np.where(spend[g] == 2, _PROBE, 0).astype(np.uint8)
                 flags.append(kind)
-            at = low - 1
         return np.concatenate(values), np.concatenate(flags)
 
 
@@ -304,21 +331,63 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return len(np.intersect1d(x, y, assume_unique=True))
 
 
+def _maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose profiles differ in no more segments than linked sets can."""
+    maker = Signatures()
+    for batch in batches:
+        good = []
+        for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("size_a", "size_b", "left", "right"))):
+            (n, x), (m, y) = sorted(((n, x), (m, y)), key=lambda p: p[0])
+            at = maker.offset(m, n)
+            segments = maker.band(n)[2]
+            x, y = np.frombuffer(x, np.uint8, segments), np.frombuffer(y, np.uint8, segments, at)
+            good.append(5 * n >= 4 * m and int((x != y).sum()) <= (n + m) // 9)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
         good = []
-        for x, y in zip(left, right):
+        for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             good.append(links(len(x), len(y), _common(x, y)))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs a, b whose whole sets are linked."""
-    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("right"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_verify, "a long, b long")
+    """The pairs a, b whose whole sets are linked. Profiles, a byte per segment, spare most of the others the trip."""
+
+    def side(name: str, what: str, column: str) -> DataFrame:
+        return sets.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"), F.col(column).alias(what))
+
+    maybe = pairs.select("a", "b").join(side("a", "left", "profile"), "a").join(side("b", "right", "profile"), "b")
+    maybe = checkpointed(maybe.mapInArrow(_maybe, "a long, b long"))
+    whole = maybe.join(side("a", "left", "hashes"), "a").join(side("b", "right", "hashes"), "b")
+    return whole.mapInArrow(_verify, "a long, b long")
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, size, hash: one row for each hash of a set."""
+    for batch in batches:
+        for node, raw in zip(batch.column("node").to_pylist(), batch.column("hashes").to_pylist()):
+            s = np.frombuffer(raw, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(s), node)), pa.array(np.full(len(s), len(s))), pa.array(s)], ["node", "size", "hash"])
+
+
+def prefix_groups(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """group, node: sets that share a hash among their rarest ones.
+
+    In one order of all hashes, rare ones first, two linked sets share one of the first
+    size - ceil(0.8 x size) + 1 of each. What only comes with a common passage stands at the end.
+    """
+    opened = checkpointed(
+        sets.join(nodes, "node", "left_semi").select("node", "hashes").mapInArrow(_prefixes, "node long, size long, hash long"))
+    counts = opened.groupBy("hash").count()
+    order = Window.partitionBy("node").orderBy("count", "hash")
+    ranked = opened.join(counts, "hash").withColumn("n", F.row_number().over(order))
+    kept = ranked.where("n <= size - ceil(4 * size / 5) + 1 and count > 1")
+    return kept.select(F.col("hash").alias("group"), "node")
 
 
 def _block_links(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -359,9 +428,8 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     ).drop("ca", "cb")
 
 
-def _open_groups(groups: DataFrame, labels: DataFrame) -> DataFrame:
+def _open_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
     """group, node, component, main (the group's largest component) of groups in several components."""
-    members = groups.select("group", F.explode("members").alias("node"))
     placed = _labelled(members, "node", labels)
     counted = placed.groupBy("group", "component").agg(F.count(F.lit(1)).alias("n"))
     mains = counted.groupBy("group").agg(
@@ -383,11 +451,13 @@ def near_links(df: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[D
             )
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maker = Signatures()
         for batch in slices(batches, "text", BATCH_BYTES):
-            sets = shingle_sets(batch.column("text").to_pylist())
+            sets = [s for s in shingle_sets(batch.column("text").to_pylist()) if len(s)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([short(digest(s)) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["node", "hashes"],
+                [pa.array([short(digest(s)) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([maker.profile(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                ["node", "size", "profile", "hashes"],
             )
 
     shaped = pick(df, doc_id=id, text=text)
@@ -401,13 +471,14 @@ def near_links(df: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[D
     pairs = found.where("a is not null").groupBy("a", "b").agg(F.sum("support").alias("support"))
     groups = found.where("members is not null").select(
         F.xxhash64("members").alias("group"), "members").dropDuplicates(["group"])
+    groups = groups.select("group", F.explode("members").alias("node"))
     # Whole sets of the candidates only. A row of each class is chosen by id first, so that no other text travels.
     wanted = found.where("a is not null").select(F.explode(F.array("a", "b")).alias("node")).unionByName(
         found.where("members is not null").select(F.explode("members").alias("node"))).distinct()
     chosen = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node", "left_semi")
     texts = shaped.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
     sets = checkpointed(
-        texts.mapInArrow(sets_of, "node long, hashes binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+        texts.mapInArrow(sets_of, "node long, size long, profile binary, hashes binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     )
     # Round 1: each set's best supported pair, then all pairs not yet within one component.
     best = Window.partitionBy("b").orderBy(F.desc("support"), "a")
@@ -415,28 +486,37 @@ def near_links(df: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[D
     known = checkpointed(verified(pairs.where("n = 1"), sets))
     labels = components(known)
     known = checkpointed(known.unionByName(verified(_apart(pairs.where("n > 1"), labels), sets)))
-    if groups.isEmpty():
-        return rows, known
-    # Round 2: members outside a group's largest component with a few partners each.
+    # Large groups in several components: only what also shares a rare hash can be linked.
     labels = components(known)
     opened = checkpointed(_open_groups(groups, labels))
     if opened.isEmpty():
         return rows, known
+    groups = prefix_groups(opened.select("node").distinct(), sets)
+    opened = checkpointed(_open_groups(groups, labels))
+    if opened.isEmpty():
+        return rows, known
+    # Round 2: members outside a group's largest component with a few partners each.
+    opened = opened.join(sets.select("node", "size"), "node")
     seats = opened.withColumn("seat", F.row_number().over(Window.partitionBy("group").orderBy("node")) - 1)
-    sizes = seats.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    asked = seats.where(F.col("component") != F.col("main")).join(sizes, "group").select(
-        "group", F.col("node").alias("a"), F.explode(F.transform(
-            F.sequence(F.lit(1), F.lit(PARTNERS)), lambda i: F.pmod(F.xxhash64("node", "group", i), F.col("n"))
-        )).alias("seat"))
-    tried = asked.join(seats.select("group", "seat", F.col("node").alias("b")), ["group", "seat"]).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    members = seats.groupBy("group").agg(F.count(F.lit(1)).cast("int").alias("members"))
+    chance = F.transform(F.sequence(F.lit(1), F.lit(PARTNERS)),
+                         lambda i: F.pmod(F.xxhash64("node", "group", i), F.col("members")).cast("int"))
+    everyone = F.sequence(F.lit(0), F.least("members", F.lit(MEET_ALL)) - 1)
+    asked = seats.where(F.col("component") != F.col("main")).join(members, "group").select(
+        "group", F.col("node").alias("a"), F.col("size").alias("size_a"),
+        F.explode(F.when(F.col("members") <= MEET_ALL, everyone).otherwise(chance)).alias("seat"))
+    others = seats.select("group", "seat", F.col("node").alias("b"), F.col("size").alias("size_b"))
+    fits = 5 * F.least("size_a", "size_b") >= 4 * F.greatest("size_a", "size_b")
+    tried = asked.join(others, ["group", "seat"]).where(fits & (F.col("a") != F.col("b"))).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     known = checkpointed(known.unionByName(verified(_apart(tried, labels), sets)))
     # Round 3: what is still outside, against its whole group in blocks.
     labels = components(known)
-    opened = checkpointed(_open_groups(groups, labels))
+    large = opened.join(members.where(F.col("members") > MEET_ALL), "group").select("group", "node")
+    opened = checkpointed(_open_groups(large, labels))
     if opened.isEmpty():
         return rows, known
-    members = opened.join(sets, "node")
+    members = opened.join(sets.drop("profile", "size"), "node")
     spread = F.pmod(F.xxhash64("node"), F.col("blocks"))
     blocks = opened.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
     members = members.join(blocks, "group")
