@@ -100,7 +100,11 @@ def merges(path: str) -> Merges:
     return Merges(path)
 
 
-@lru_cache(maxsize=4)
-def splitter(path: str) -> tuple[regex.Pattern, regex.Pattern | None]:
-    special = sorted(merges(path).special, key=len, reverse=True)
-    return regex.compile(SPLIT), regex.compile("|".join(map(regex.escape, special))) if special else None
+def split_pattern() -> regex.Pattern:
+    return regex.compile(SPLIT)
+
+
+def any_of(special: list[str]) -> regex.Pattern | None:
+    """Pattern of the special strings, longer ones first; None without any."""
+    ordered = sorted(special, key=len, reverse=True)
+    return regex.compile("|".join(map(regex.escape, ordered))) if ordered else None

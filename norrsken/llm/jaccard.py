@@ -50,7 +50,7 @@ RESERVE = 0.06
 #: Sets up to this size have one-deletion entries for all segments.
 SMALL = 24
 #: Shingles of one bucket of signatures.
-BUCKET = 2_000_000
+BUCKET = 750_000
 LEAST_BUCKETS = 32
 #: Groups up to this size give their pairs at once.
 GROUP = 6
@@ -334,7 +334,7 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
 def _maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose profiles differ in no more segments than linked sets can."""
     maker = Signatures()
-    for batch in batches:
+    for batch in (b.slice(at, 2000) for b in batches for at in range(0, len(b), 2000)):
         good = []
         for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("size_a", "size_b", "left", "right"))):
             (n, x), (m, y) = sorted(((n, x), (m, y)), key=lambda p: p[0])
@@ -346,7 +346,7 @@ def _maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(at, 200) for b in batches for at in range(0, len(b), 200)):
         good = []
         for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

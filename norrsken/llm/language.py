@@ -37,8 +37,8 @@ MAX_LANGUAGES = 64
 LANDMARKS = 256
 RIDGE = 1e-3
 FOLDS = 5
-BATCH_BYTES = 2 << 20
-ROWS = 256
+BATCH_BYTES = 1 << 20
+ROWS = 64
 UNKNOWN = "und"
 #: A document below this score is rejected by the pipeline, like one without a letter.
 LEAST_SCORE = 0.05

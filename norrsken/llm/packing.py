@@ -32,8 +32,8 @@ CLOSING = 0
 OPEN_BINS = 8192
 #: Pieces of a group: what one task packs.
 GROUP = 50_000
-BATCH_BYTES = 4 << 20
-REMEMBERED = 1 << 19
+BATCH_BYTES = 1 << 20
+REMEMBERED = 1 << 17
 LONGEST = 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -50,8 +50,8 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.split, self.special = bpe.splitter(path)
-        self.special_ids = bpe.merges(path).special
+        self.split = bpe.split_pattern()
+        self.special = bpe.any_of([t.content for t in self.library.get_added_tokens_decoder().values()])
         self.known: dict[str, bytes] = {}
 
     def _pieces(self, text: str) -> list[str]:

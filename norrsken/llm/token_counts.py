@@ -23,9 +23,9 @@ from norrsken.llm import bpe
 from norrsken.llm.common import documents, pick, slices, texts_of
 
 #: Texts of one round of merging.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Pre-tokens whose counts a worker remembers; beyond it the table starts anew.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 #: Longer pre-tokens are merged each time instead of being remembered.
 LONGEST = 64
 LIMIT = 1024
@@ -36,7 +36,7 @@ SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 class Counter:
     def __init__(self, path: str):
         self.merges = bpe.merges(path)
-        self.split, self.special = bpe.splitter(path)
+        self.split, self.special = bpe.split_pattern(), bpe.any_of(list(self.merges.special))
         self.known: dict[str, int] = {}
 
     def _pieces(self, text: str) -> tuple[list[str], int]:
