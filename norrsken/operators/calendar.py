@@ -31,7 +31,7 @@ def closed_reason(day: Column, market: Column) -> Column:
     year = F.year(day)
     easter = easter_sunday(year)
     month_day = F.month(day) * 100 + F.dayofmonth(day)
-    # --- fixed values: closed days -----------------------------------------------------------
+    # Of two reasons for one day the earlier branch counts, as when Ascension Day falls on May Day.
     return (
         F.when(F.weekday(day) >= 5, "Weekend")
         .when((month_day == 606) & (market == "stockholm"), "Swedish National Day")

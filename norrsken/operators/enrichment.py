@@ -24,14 +24,24 @@ def with_candidates(companies: DataFrame) -> DataFrame:
     return companies.select("*", F.posexplode(candidates).alias("attempt", "symbol"))
 
 
+def one_per_symbol(rows: DataFrame) -> DataFrame:
+    """A row per upper-cased symbol (``join_symbol``): the greatest of its rows."""
+    whole = F.struct(*rows.columns)
+    return (
+        rows.groupBy(F.upper("symbol").alias("join_symbol"))
+        .agg(F.max(whole).alias("row"))
+        .select("join_symbol", "row.*")
+    )
+
+
 def first_hits(companies: DataFrame, fundamentals: DataFrame) -> DataFrame:
     """Per company the first candidate symbol with a usable payload.
 
     ``fundamentals`` holds usable payloads only, as the parsers return them. ``companies`` has one
     row per (ticker, country); at most two candidates each reach the grouping, so no group grows
-    with the data.
+    with the data. Of several payloads of a symbol the greatest one in column order counts, whatever the partitions.
     """
-    usable = fundamentals.withColumn("join_symbol", F.upper("symbol"))
+    usable = one_per_symbol(fundamentals.select("symbol", "evidence_item", *FUNDAMENTAL_COLUMNS))
     attempts = with_candidates(companies.select("ticker", "country")).select(
         "ticker", "country", "attempt", F.upper("symbol").alias("join_symbol")
     )
@@ -48,8 +58,8 @@ def first_hits(companies: DataFrame, fundamentals: DataFrame) -> DataFrame:
 
 def with_profile_text(fundamentals: DataFrame, profiles: DataFrame) -> DataFrame:
     """Search hits left-joined with profile text; a hit without profile stays as it is."""
-    texts = profiles.select(
-        F.upper("symbol").alias("join_symbol"),
+    texts = one_per_symbol(profiles.select("symbol", "business_description", "ir_url")).select(
+        "join_symbol",
         F.col("business_description").alias("profile_description"),
         F.col("ir_url").alias("profile_ir_url"),
     )

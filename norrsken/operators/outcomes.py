@@ -79,12 +79,15 @@ def country_benchmark(snapshots: DataFrame, spans: DataFrame) -> DataFrame:
         .join(last, ["country", "ticker", "due_date", "currency"])
         .groupBy("country", "report_date", "due_date")
         .agg(
-            F.sum(gain.cast("decimal(24,8)")).alias("gains"),
+            F.sum(F.round(gain, 8).try_cast("decimal(24,8)")).alias("gains"),
+            # Beyond the decimal's range the sum of such gains is a double: one odd quote ends no run.
+            F.sum(F.when(gain.try_cast("decimal(24,8)").isNull(), gain)).alias("odd_gains"),
             F.count("*").alias("peers"),
         )
         .select(
             "country", "report_date", "due_date", "peers",
-            round_dp(F.col("gains").cast("double") / F.col("peers"), 2).alias(
+            round_dp((F.coalesce(F.col("gains").cast("double"), F.lit(0.0)) + F.coalesce("odd_gains", F.lit(0.0)))
+                     / F.col("peers"), 2).alias(
                 "benchmark_return_pct"
             ),
         )

@@ -2,7 +2,8 @@
 
 Every ``row_number() <= k`` filter below sits directly on its window, so Spark cuts each map
 task's rows to k per group before the shuffle. A company name, country or strategy that holds a
-third of all rows therefore sends k rows per task, not a third of the table, to one task.
+third of all rows therefore sends k rows per task, not a third of the table, to one task. Spark does so for k up
+to its ``windowGroupLimitThreshold``, so larger lists are refused.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ from norrsken.functions.text import company_key, strip
 from norrsken.operators.quality import tier_order
 
 
+#: Longest list: Spark's default threshold for limiting window groups before the shuffle.
+MOST_ROWS = 1000
+
+
 def company_filter(
     listing: DataFrame,
     countries: Sequence[str] | None = None,
@@ -90,8 +95,9 @@ def select_top(
     A quota that the plain top-k misses is met by replacing the lowest-ranked rows of countries
     that have rows to spare. ``rank`` numbers the selection in the given order.
     """
-    if limit < 1:
-        raise ValueError("limit must be at least 1")
+    most = max([limit, *normalise_quotas(quotas).values()])
+    if limit < 1 or most > MOST_ROWS:
+        raise ValueError(f"limit must be at least 1, limit and quotas at most {MOST_ROWS}")
     order = order or score_order()
     wanted = normalise_quotas(quotas)
     if not wanted:

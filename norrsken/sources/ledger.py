@@ -105,29 +105,47 @@ class Ledger:
             .parquet(f"{self.path}/{name}")
         )
 
+    def _partitions(self, name: str, days: DataFrame) -> DataFrame:
+        """The rows of some days only. The days are few (one row each), so they become a scan filter."""
+        _, partition = TABLES[name]
+        wanted = [row[0] for row in days.distinct().collect()]
+        return self.table(name).where(F.col(partition).isin(wanted) if wanted else F.lit(False))
+
     def add_picks(self, incoming: DataFrame) -> None:
-        """Upsert picks by id. Only report days that occur in ``incoming`` are read and written."""
+        """Upsert picks by id. Only days that ``incoming`` can touch are read and written.
+
+        A pick's outcomes lie on its due dates, so whether it was priced shows on those days alone.
+        """
         incoming = self._stage("picks", incoming)
-        days = incoming.select("report_date").distinct()
-        existing = self.table("picks").join(days, "report_date", "left_semi")
-        outcomes = self.table("outcomes")
-        priced = outcomes.where(F.col("status") == K.PRICED)
+        existing = self._partitions("picks", incoming.select("report_date"))
+        due_days = open_outcomes(incoming.select(*PICKS.names)).select("due_date")
+        touched = self._stage("outcomes", self._partitions("outcomes", due_days))
+        priced = touched.where(F.col("status") == K.PRICED)
         self._overwrite("picks", merge_picks(existing, incoming, priced))
-        fresh = open_outcomes(incoming)
-        due_days = fresh.select("due_date").distinct()
-        touched = outcomes.join(due_days, "due_date", "left_semi")
         self._overwrite("outcomes", merge_outcomes(touched, incoming))
 
+    def reject(self, rows: DataFrame, batch: int) -> None:
+        """Keep what a batch of the stream could not use. A replayed batch replaces its own rows."""
+        rows.write.mode("overwrite").parquet(f"{self.path}/rejected/batch={batch}")
+
     def record_snapshot(self, quotes: DataFrame, day: dt.date) -> None:
-        """Replace the snapshot of a day."""
-        self._overwrite("snapshots", market_snapshot(quotes, day))
+        """Replace the snapshot of a day, also by one without rows."""
+        schema, _ = TABLES["snapshots"]
+        staged = self._stage("snapshots", market_snapshot(quotes, day))
+        (
+            staged.drop("snapshot_date")
+            .withColumn("schema_version", F.lit(K.LEDGER_SCHEMA_VERSION))
+            .hint("rebalance")
+            .write.mode("overwrite")
+            .parquet(f"{self.path}/snapshots/snapshot_date={day.isoformat()}")
+        )
 
     def update_outcomes(self, quotes: DataFrame, as_of: dt.date) -> None:
         """Settle what is due. Days without an open row are neither read further nor written."""
         today = F.lit(as_of).cast("date")
         outcomes = self.table("outcomes").where(F.col("due_date") <= today)
-        open_days = outcomes.where(F.col("status") == K.NOT_DUE).select("due_date").distinct()
-        touched = outcomes.join(open_days, "due_date", "left_semi")
+        open_days = outcomes.where(F.col("status") == K.NOT_DUE).select("due_date")
+        touched = self._stage("outcomes", self._partitions("outcomes", open_days))
         dated = quotes.withColumn("quote_date", today)
         settled = update_due(touched, self.table("picks"), dated, self.table("snapshots"), as_of)
         self._overwrite("outcomes", settled)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -32,6 +34,16 @@ def read_screener(spark: SparkSession, path: str) -> DataFrame:
 
     Broken files give one row with a non-null ``corrupt`` column, so coverage can count them.
     """
+    raw = screener_envelopes(spark, path)
+    return screener_rows(raw, "file").unionByName(
+        # A broken file has no source either; Spark refuses to read the corrupt column alone.
+        raw.where("corrupt is not null and source is null").select("file", "corrupt"),
+        allowMissingColumns=True,
+    )
+
+
+def screener_envelopes(spark: SparkSession, path: str) -> DataFrame:
+    """One row per landed file, with its path in ``file`` and a broken file's text in ``corrupt``."""
     schema = StructType([*SCREENER_ENVELOPE.fields, StructField("corrupt", StringType())])
     raw = (
         spark.read.schema(schema)
@@ -40,7 +52,7 @@ def read_screener(spark: SparkSession, path: str) -> DataFrame:
         .option("columnNameOfCorruptRecord", "corrupt")
         .json(path)
     )
-    return screener_rows(raw.withColumn("file", F.col("_metadata.file_path")), "file")
+    return raw.withColumn("file", F.col("_metadata.file_path"))
 
 
 def parse_screener(payloads: DataFrame, text: str, order: str) -> DataFrame:
@@ -113,10 +125,24 @@ def first_listing(listing: DataFrame, load_order: list[str]) -> DataFrame:
 
 
 def read_listing_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Listing CSV with header synonyms. No quotes and no dedupe on this path."""
-    # Only the header line is read here, for the column names; rows stay text.
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    return csv_listings(raw)
+    """Listing CSV with header synonyms. No quotes and no dedupe on this path.
+
+    Files may have their columns in different orders: every file is read by its own header, so the
+    files of one header are read together. The headers are one short line of each file.
+    """
+    first = (
+        spark.read.text(path)
+        .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+        .where("at = 0").groupBy("file").agg(F.first("value").alias("header"))
+    )
+    files: dict[str, list[str]] = {}
+    for row in first.orderBy("file").collect():
+        files.setdefault(row["header"], []).append(row["file"])
+    read = spark.read.option("header", True).option("inferSchema", False)
+    parts = [csv_listings(read.csv(paths)) for paths in files.values()]
+    if not parts:
+        return csv_listings(read.csv(path))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def csv_listings(raw: DataFrame) -> DataFrame:
@@ -186,15 +212,25 @@ def live_research(listing: DataFrame, quote: DataFrame, source_url: str) -> Data
     return conform(df, StructType([*RESEARCH.fields, StructField("ordinal", LongType())]))
 
 
-def listing_status(parsed: DataFrame, source_url: str) -> DataFrame:
-    """One coverage row for the listing scan: error when nothing was parsed."""
-    n = F.col("parsed")
-    return parsed.agg(F.count("*").alias("parsed")).select(
+def listing_status(parsed: DataFrame, source_url: str, scanned: DataFrame | None = None) -> DataFrame:
+    """One coverage row for the listing scan: error when nothing was parsed.
+
+    ``scanned`` holds the rows of ``read_screener``; its broken files count as attempted, and make the
+    status a warning.
+    """
+    n, broken = F.col("parsed"), F.col("broken")
+    counted = parsed.agg(F.count("*").alias("parsed"))
+    if scanned is None:
+        counted = counted.withColumn("broken", F.lit(0).cast("long"))
+    else:
+        counted = counted.withColumn("broken", scanned.agg(F.count("corrupt")).scalar())
+    files = F.when(broken > 0, F.concat(F.lit(", "), broken.cast("string"), F.lit(" files unreadable"))).otherwise("")
+    return counted.select(
         F.lit(LISTING_CHECK_NAME).alias("source"),
-        n.alias("attempted"),
+        (n + broken).alias("attempted"),
         "parsed",
-        F.when(n > 0, "ok").otherwise("error").alias("status"),
-        F.when(n > 0, F.concat(n.cast("string"), F.lit(f" companies parsed from {source_url}")))
+        F.when(n == 0, "error").when(broken > 0, "warning").otherwise("ok").alias("status"),
+        F.when(n > 0, F.concat(n.cast("string"), F.lit(f" companies parsed from {source_url}"), files))
         .otherwise("live payload contained no SE/FI listings")
         .alias("detail"),
     )

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from norrsken import constants as K
 from norrsken.functions.numeric import finite
@@ -14,9 +17,26 @@ from norrsken.schemas import COMPANY_COLUMNS, METRIC_COLUMNS, PICKS, REPORT, SCO
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Report files, one JSON object per file. The file path gives the load order."""
-    raw = spark.read.schema(REPORT).option("multiLine", True).json(path)
-    return raw.withColumn("load_order", F.col("_metadata.file_path"))
+    """Report files. The file path gives the load order; see ``report_rows``."""
+    files = spark.read.text(path, wholetext=True)
+    return report_rows(files.withColumn("load_order", F.col("_metadata.file_path")))
+
+
+def report_rows(files: DataFrame) -> DataFrame:
+    """Whole files (``value``) as reports: one document on any number of lines, or one on each line.
+
+    A file whose first line is a document by itself has one on each line. A broken document gives a row
+    without items and its text in ``corrupt``.
+    """
+    schema = StructType([*REPORT.fields, StructField("corrupt", StringType())])
+    by_line = F.try_parse_json(F.substring_index("value", "\n", 1)).isNotNull()
+    lines = F.filter(F.split("value", "\n"), lambda line: F.trim(line) != "")
+    others = [n for n in files.columns if n != "value"]
+    documents = files.select(
+        *others, F.explode(F.when(by_line, lines).otherwise(F.array("value"))).alias("document")
+    )
+    parsed = F.from_json("document", schema, {"columnNameOfCorruptRecord": "corrupt"})
+    return documents.select(*others, parsed.alias("r")).select(*others, "r.*")
 
 
 def report_picks(
@@ -71,6 +91,16 @@ def unknown_strategies(reports: DataFrame) -> DataFrame:
     return reports.where(~strategy.isin(*K.TRACKED_STRATEGIES)).select(strategy.alias("strategy"))
 
 
+def rejected_reports(reports: DataFrame, load_order: str = "load_order") -> DataFrame:
+    """load_order, strategy and reason of report files that make no picks."""
+    strategy = strip(F.coalesce("metadata.strategy", F.lit("")))
+    broken = F.col("corrupt").isNotNull()
+    reason = F.when(broken, F.lit("unreadable file")).otherwise("strategy without picks")
+    return reports.where(broken | ~strategy.isin(*K.TRACKED_STRATEGIES)).select(
+        F.col(load_order).alias("load_order"), strategy.alias("strategy"), reason.alias("reason")
+    )
+
+
 def company_struct() -> Column:
     renamed = [
         F.col(n).alias("currency" if n == "listing_currency" else n) for n in COMPANY_COLUMNS
@@ -90,13 +120,13 @@ def financials_struct() -> Column:
     )
 
 
-def report_items(ranked: DataFrame) -> DataFrame:
-    """Ranked ideas as report items, one row per item, with strategy for partitioning.
+def report_items(ranked: DataFrame, run: Sequence[str] = ()) -> DataFrame:
+    """Ranked ideas as report items, one row per item, with run and strategy for partitioning.
 
     Long-term rows carry conviction and gate when ``with_report_columns`` added them.
     """
     columns = [
-        "strategy", "rank",
+        *run, "strategy", "rank",
         company_struct().alias("company"),
         "company_presentation",
         financials_struct().alias("financials"),
@@ -113,14 +143,16 @@ def report_items(ranked: DataFrame) -> DataFrame:
     return with_presentation(ranked).select(*columns)
 
 
-def report_documents(items: DataFrame, metadata: Column, checks: DataFrame) -> DataFrame:
-    """One report document per strategy, in the shape ``read_reports`` reads.
+def report_documents(
+    items: DataFrame, metadata: Column, checks: DataFrame, run: Sequence[str] = ()
+) -> DataFrame:
+    """One report document per run and strategy, in the shape ``read_reports`` reads.
 
     A report holds one top-k list, so the collected items are bounded by the limit; the source
-    checks are one row per source.
+    checks are one row per source. ``run`` names the columns that tell runs apart, for example a date.
     """
-    entries = [n for n in items.columns if n != "strategy"]
-    listed = items.groupBy("strategy").agg(
+    entries = [n for n in items.columns if n != "strategy" and n not in run]
+    listed = items.groupBy(*run, "strategy").agg(
         F.array_sort(
             F.collect_list(F.struct(*entries)), lambda a, b: a["rank"] - b["rank"]
         ).alias("items")
@@ -132,14 +164,14 @@ def report_documents(items: DataFrame, metadata: Column, checks: DataFrame) -> D
     )
     with_checks = listed.withColumn("source_checks", detail.scalar())
     return with_checks.select(
-        "strategy", F.lit(K.DISCLAIMER).alias("disclaimer"), metadata.alias("metadata"),
+        *run, "strategy", F.lit(K.DISCLAIMER).alias("disclaimer"), metadata.alias("metadata"),
         "source_checks", "items",
     )
 
 
-def write_reports(documents: DataFrame, path: str) -> None:
-    """One JSON document per strategy below ``strategy=``."""
-    documents.write.mode("overwrite").partitionBy("strategy").option(
+def write_reports(documents: DataFrame, path: str, run: Sequence[str] = ()) -> None:
+    """One JSON document per run and strategy, in folders named by them."""
+    documents.write.mode("overwrite").partitionBy(*run, "strategy").option(
         "ignoreNullFields", False
     ).json(path)
 

@@ -4,22 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import DateType, StructField, StructType
+from pyspark.sql.types import DateType, StringType, StructField, StructType
 
-from norrsken.schemas import REPORT
 from norrsken.sources.ledger import Ledger
-from norrsken.sources.reports import report_picks
+from norrsken.sources.reports import rejected_reports, report_picks, report_rows
 
-REPORT_FILES = StructType([*REPORT.fields, StructField("report_date", DateType())])
+REPORT_FILES = StructType([StructField("value", StringType()), StructField("report_date", DateType())])
 
 
 def report_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Report files below ``report_date=`` folders as a stream."""
-    return (
-        spark.readStream.schema(REPORT_FILES)
-        .json(path)
-        .withColumn("load_order", F.col("_metadata.file_path"))
-    )
+    """Report files below ``report_date=`` folders as a stream, read like ``read_reports``."""
+    files = spark.readStream.schema(REPORT_FILES).text(path, wholetext=True)
+    return report_rows(files.withColumn("load_order", F.col("_metadata.file_path")))
 
 
 def stream_ledger_update(
@@ -28,10 +24,12 @@ def stream_ledger_update(
     """Upsert the picks of every micro-batch.
 
     A batch that is replayed after a failure finds its own picks and writes them again, so the
-    ledger is the same as after one run.
+    ledger is the same as after one run. Broken files and reports of unknown strategies make no
+    picks; they are kept in the ledger's ``rejected`` folder, a file set for each batch.
     """
 
-    def upsert(batch: DataFrame, _: int) -> None:
+    def upsert(batch: DataFrame, number: int) -> None:
+        ledger.reject(rejected_reports(batch), number)
         ledger.add_picks(report_picks(batch, F.col("report_date")))
 
     writer = reports.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)

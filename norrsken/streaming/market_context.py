@@ -18,7 +18,9 @@ def stream_market_context(quotes: DataFrame, lateness: str = "1 day") -> DataFra
     before the shuffle by day, whose partial sums leave a few rows per day and task.
     """
     c = F.col
-    last = F.max_by(F.struct("price", "currency", "catalysts", "risks"), c("ts"))
+    # Of quotes at the same time the greatest counts, so that the order of arrival does not matter.
+    quote = F.struct("price", "currency", "catalysts", "risks")
+    last = F.max_by(quote, F.struct(c("ts"), quote))
     per_company = (
         quotes.withWatermark("ts", lateness)
         .groupBy(F.window("ts", "1 day"), "ticker", "country")

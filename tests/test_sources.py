@@ -49,6 +49,8 @@ def test_screener_files(spark, tmp_path):
     status = ls.listing_status(spark.createDataFrame(rows), "u").first()
     assert (status.status, status.detail) == ("ok", "5 companies parsed from u")
     assert ls.listing_status(spark.createDataFrame(rows).where("false"), "u").first().status == "error"
+    counted = ls.listing_status(spark.createDataFrame(rows), "u", ls.read_screener(spark, str(tmp_path))).first()
+    assert (counted.attempted, counted.parsed, counted.status) == (6, 5, "warning")
 
 
 def test_live_research_is_thin(spark, tmp_path):
@@ -71,6 +73,33 @@ def test_listing_csv(spark, tmp_path):
         ls.read_listing_csv(spark, str(path))
 
 
+def test_each_csv_file_is_read_by_its_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("name,ticker,country\nFirst AB,AAA,SE\n")
+    (tmp_path / "b.csv").write_text("ticker,company,country\nBBB,Second Oyj,FI\n")
+    (tmp_path / "c.csv").write_text("name,ticker,country\nThird AB,CCC,SE\n")
+    rows = ls.read_listing_csv(spark, str(tmp_path)).collect()
+    assert {(r.ticker, r.name, r.country) for r in rows} == {
+        ("AAA", "First AB", "SE"), ("BBB", "Second Oyj", "FI"), ("CCC", "Third AB", "SE")}
+
+
+def test_reports_of_several_runs_stay_apart(spark, research, tmp_path):
+    df = research(*[dict(SOLID, ticker=t, run=r) for t in "ABC" for r in ("2026-05-11", "2026-05-12")])
+    ranked = watchlist(df, ["trading"], limit=2, run_columns=["run"])
+    checks = spark.createDataFrame([("s", "ok", "1/1")], "source string, status string, detail string")
+    metadata = F.struct(F.col("run").alias("generated_at"), "strategy")
+    documents = rp.report_documents(rp.report_items(ranked, ["run"]), metadata, checks, ["run"])
+    assert {(r.run, tuple(i["rank"] for i in r["items"])) for r in documents.collect()} == {
+        ("2026-05-11", (1, 2)), ("2026-05-12", (1, 2))}
+
+
+def test_rejected_reports(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"metadata": {"strategy": "balanced"}, "items": []}, indent=1))
+    (tmp_path / "b.json").write_text("{ broken")
+    (tmp_path / "c.json").write_text(json.dumps({"metadata": {"strategy": "trading"}, "items": []}))
+    got = rp.rejected_reports(rp.read_reports(spark, str(tmp_path))).collect()
+    assert sorted((r.load_order[-6:], r.reason) for r in got) == [("a.json", "strategy without picks"), ("b.json", "unreadable file")]
+
+
 def test_curated_research_file(spark, tmp_path):
     company = dict(name="Seed Oyj", ticker=" seed ", country="fi", exchange="Nasdaq Helsinki", segment="main_market",
                    sector="Gaming", market_cap_eur_m=330, currency="EUR", ir_url="https://x",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F
 
@@ -52,6 +53,31 @@ def test_context_stream_takes_the_last_quote_of_closed_days(spark, tmp_path):
         assert rows[str(r.snapshot_date)].companies == r.companies
 
 
+def test_stream_reads_reports_on_many_lines(spark, tmp_path):
+    item = dict(rank=1, company=dict(ticker="a", country="se"), score=dict(total=1.0), financials=dict(price=2.0, currency="SEK"))
+    for day, strategy in (("2026-05-11", "trading"), ("2026-05-12", "balanced")):
+        folder = tmp_path / "in" / f"report_date={day}"
+        folder.mkdir(parents=True)
+        (folder / "r.json").write_text(json.dumps(dict(metadata=dict(strategy=strategy), items=[item]), indent=2))
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    stream_ledger_update(report_stream(spark, str(tmp_path / "in")), ledger, str(tmp_path / "p")).awaitTermination()
+    assert [r.pick_id for r in ledger.table("picks").collect()] == ["2026-05-11|trading|SE|A"]
+    rejected = spark.read.parquet(f"{ledger.path}/rejected").collect()
+    assert [(r.strategy, r.reason) for r in rejected] == [("balanced", "strategy without picks")]
+
+
+def test_empty_day_replaces_its_snapshot(spark, tmp_path):
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    day = dt.date(2026, 5, 11)
+    schema = "ticker string, country string, price double, currency string, name string, segment string, sector string, catalysts array<string>, risks array<string>"
+    quotes = spark.createDataFrame([("A", "SE", 1.0, "SEK", "A", "m", "s", [], [])], schema)
+    ledger.record_snapshot(quotes, day)
+    ledger.record_snapshot(quotes, dt.date(2026, 5, 12))
+    assert ledger.table("snapshots").count() == 2
+    ledger.record_snapshot(quotes.where("false"), day)
+    assert [r.snapshot_date for r in ledger.table("snapshots").collect()] == [dt.date(2026, 5, 12)]
+
+
 def test_ledger_stream_is_idempotent(spark, tmp_path):
     reports = str(tmp_path / "reports")
     q._write_reports(spark, SF, reports)
