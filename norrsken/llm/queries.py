@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from norrsken.llm import fingerprints, jaccard, language, licenses, line_dedup, mixing, nearest, packing, token_counts
+from norrsken.llm import fingerprints, jaccard, language, licenses, line_dedup, mixing, nearest, packing, substring_dedup, token_counts
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op4_jaccard_join": jaccard.op4_jaccard_join,
     "op5_token_counts": token_counts.op5_token_counts,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_nearest": nearest.op7_nearest,
     "op8_packing": packing.op8_packing,
     "op9_language_id": language.op9_language_id,
