@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from norrsken.llm.common import documents, pick, slices
+from norrsken.llm.common import checkpointed, documents, pick, slices
 from norrsken.llm.line_dedup import _LARGEST, _clean
 
 BATCH_BYTES = 2 << 20
@@ -55,9 +55,13 @@ def substring_dedup(df: DataFrame, id: str = "doc_id", text: str = "text") -> Da
         "doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LARGEST)), "tag": F.xxhash64("text")})
     units = base.select("doc", "tag", "text").mapInArrow(_units, _UNITS)
     place = F.struct("doc", "tag", "unit")
-    firsts = units.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written, so that the join below has a shuffle on both sides and a common line's occurrences can be split.
+    firsts = checkpointed(
+        units.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1").select("h1", "h2", "first")
+    )
     gone = (
-        units.join(firsts.select("h1", "h2", "first"), ["h1", "h2"]).where(place != F.col("first"))
+        units.join(firsts, ["h1", "h2"]).where(place != F.col("first"))
         .groupBy("doc", "tag").agg(F.array_sort(F.collect_set(F.struct("unit", "start", "length"))).alias("gone"))
     )
     lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n")))
