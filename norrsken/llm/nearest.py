@@ -9,7 +9,8 @@ the lists whose centroids' distances are within a ratio of its nearest one. All
 Inner product is turned into distance by one more component that gives all vectors the same norm.
 
 A vector that occurs many times is indexed once with its smallest ids, as many as any query can return;
-equal queries are searched once. Lists longer than a block are read by several tasks.
+equal queries are searched once. Lists longer than a block, and lists that many queries read, are dealt to
+several tasks, in which a block of vectors meets a block of queries.
 
 Defined cases: vectors that are null, zero, of another length than most, or that hold null or
 non-finite components take no part; neither do null ids. Repeated rows (same id and vector) are one
@@ -43,8 +44,9 @@ COPY_RATIO = 1.15
 LISTS = 40
 LEAST_LISTS = 12
 LIST_RATIO = 1.6
-#: Vectors of a list that one task reads.
+#: Vectors of a list, and queries that read it, which meet in one task.
 BLOCK = 4000
+ASKED = 4000
 
 
 @dataclass
@@ -182,14 +184,23 @@ def nearest(df: DataFrame, id: str = "vec_id", vector: str = "embedding", k: int
         lists_of(COPY_RATIO, COPIES, 1, True), f"{key_type}, v array<double>, ids array<long>, lists array<long>"
     ).select("v", "ids", F.col("key"), F.explode("lists").alias("list"))
     indexed = checkpointed(indexed)
-    blocks = indexed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    sliced = indexed.join(blocks, "list").select(
-        "list", F.pmod(F.col("key.b"), F.col("blocks")).cast("int").alias("block"), "v", "ids")
-    asked = queries.groupBy("key").agg(F.first("v").alias("v")).mapInArrow(
+    asked = checkpointed(queries.groupBy("key").agg(F.first("v").alias("v")).mapInArrow(
         lists_of(LIST_RATIO, LISTS, LEAST_LISTS, False), f"{key_type}, v array<double>, lists array<long>"
-    ).select("key", "v", F.explode("lists").alias("list"))
-    asked = asked.join(blocks, "list").select(
-        "key", "v", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    ).select("key", "v", F.explode("lists").alias("list")))
+
+    def blocks_of(frame: DataFrame, name: str, most: int) -> DataFrame:
+        return frame.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+
+    def spread(name: str):
+        return F.pmod(F.col("key.b"), F.col(name)).cast("int")
+
+    def each(name: str):
+        return F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+
+    # One row a list that is both filled and asked for.
+    blocks = blocks_of(indexed, "blocks", BLOCK).join(blocks_of(asked, "parts", ASKED), "list")
+    sliced = indexed.join(blocks, "list").select("list", spread("blocks").alias("block"), "v", "ids", each("parts").alias("part"))
+    asked = asked.join(blocks, "list").select("list", "key", "v", spread("parts").alias("part"), each("blocks").alias("block"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -212,7 +223,8 @@ def nearest(df: DataFrame, id: str = "vec_id", vector: str = "embedding", k: int
         columns = list(zip(*out)) or [(), (), ()]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["key", "vec_id", "score"])
 
-    found = asked.groupBy("list", "block").cogroup(sliced.groupBy("list", "block")).applyInArrow(
+    meeting = ["list", "block", "part"]
+    found = asked.groupBy(*meeting).cogroup(sliced.groupBy(*meeting)).applyInArrow(
         search, f"{key_type}, vec_id long, score double"
     )
     # A boundary vector comes from several lists; copies of one pair have the same score.
