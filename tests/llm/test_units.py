@@ -2,25 +2,52 @@
 
 from __future__ import annotations
 
-from norrsken.llm.substring_dedup import substring_dedup
+import re
+
+from norrsken.llm.substring_dedup import MIN_WORDS, substring_dedup, units_of, without
+
+
+def _key(piece):
+    return " ".join(piece.lower().split())
+
+
+def _pieces(line):
+    """Start and end of the units within a line: the line, its longer sentences, their rests from the last capital on."""
+    out = {(0, len(line))} if line.split() else set()
+    ends = [m.end() for m in re.finditer(r"[.!?…。！？]\s+", line)]
+    for a, b in zip([0, *ends], [*ends, len(line)]):
+        starts = [m.start() for m in re.finditer(r"\S+", line[a:b])]
+        capitals = [k for k, s in enumerate(starts) if k and line[a + s].isupper()]
+        for k in {0, *capitals[-1:]}:
+            if len(starts) - k >= MIN_WORDS:
+                out.add((a + starts[k] if k else a, b))
+    return out
 
 
 def _plain(rows):
-    seen, out = {}, []
-    for i, text in rows:
-        for n, line in enumerate((text or "").split("\n")):
-            key = " ".join(line.lower().split())
-            if key:
-                seen.setdefault(key, []).append((2**63 if i is None else i, text, n))
-    firsts = {k: min(v, key=lambda x: (x[0], x[2]))[::2] for k, v in seen.items()}
+    places = {}
+    opened = []
     for i, text in rows:
+        at, units = 0, []
+        for line in (text or "").split("\n"):
+            units += [(at + a, b - a, _key(line[a:b])) for a, b in _pieces(line)]
+            at += len(line) + 1
+        opened.append((2**63 if i is None else i, text, units))
+        for start, length, key in units:
+            places.setdefault(key, []).append((opened[-1][0], start, length))
+    firsts = {k: min(v) for k, v in places.items()}
+    out = []
+    for (i, text), (rank, _, units) in zip(rows, opened):
+        gone = [False] * len(text or "")
+        for start, length, key in units:
+            if (rank, start, length) != firsts[key]:
+                gone[start:start + length] = [True] * length
         kept, spans, at = [], [], 0
-        for n, line in enumerate(text.split("\n")) if text is not None else ():
-            key = " ".join(line.lower().split())
-            if key and firsts[key] != (2**63 if i is None else i, n):
-                spans.append((at, len(line)))
-            else:
-                kept.append(line)
+        for line in text.split("\n") if text is not None else ():
+            mine = gone[at:at + len(line)]
+            if not line or not all(mine):
+                kept.append("".join(x for x, g in zip(line, mine) if not g))
+            spans += [(at + m.start(), len(m.group())) for m in re.finditer("x+", "".join("x" if g else "-" for g in mine))]
             at += len(line) + 1
         out.append((i, 0 if text is None else text.count("\n") + 1, len(spans), tuple(spans), None if text is None else "\n".join(kept)))
     return sorted(out, key=repr)
@@ -37,3 +64,23 @@ def test_documents_and_repeats(spark, docs, corpus, none):
     frame = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, unit int")
     assert _mine(frame) == _plain(rows)
     assert substring_dedup(none).count() == 0
+
+
+PASSAGE = "One passage of more than eight words stands here. It is repeated, word for word, in many other texts of this set."
+
+
+def test_passage_within_lines(spark):
+    rows = [(1, f"First text. {PASSAGE} The end of it."), (2, f"other words before {PASSAGE} and after it"),
+            (3, f"{PASSAGE}\nclean line"), (4, "A clean text of more than eight words that stands alone. Bye."), (5, f"Two. {PASSAGE}")]
+    mine = _mine(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert mine == _plain(rows)
+    texts = {r[0]: r[4] for r in mine}
+    assert texts[1] == rows[0][1] and texts[4] == rows[3][1]
+    assert texts[2] == "other words before and after it"
+    assert texts[3] == "clean line" and texts[5] == "Two. "
+
+
+def test_long_line_of_one_sentence_is_one_unit():
+    text = "Word " * 20
+    assert [u[:2] for u in units_of(text)][0] == (0, len(text))
+    assert without("a\nb\nc", [(0, 1), (4, 1)]) == "b"
