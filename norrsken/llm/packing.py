@@ -13,12 +13,17 @@ packed like all others (equal rows are packed once each). Further columns are ig
 
 from __future__ import annotations
 
+import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,54 +38,77 @@ OPEN_BINS = 8192
 #: Pieces of a group: what one task packs.
 GROUP = 50_000
 BATCH_BYTES = 1 << 20
-REMEMBERED = 1 << 17
+#: Units whose ids a worker remembers (about 200 bytes each); beyond it the table starts anew.
+REMEMBERED = 1 << 19
+#: Longer units are encoded each time instead of being remembered.
 LONGEST = 64
+#: A space that begins a pre-token.
+BEGINS = re.compile(r" (?=\S)")
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
 
 class Ids:
-    """Ids of texts by the library, which sees each distinct pre-token of a worker's batches once.
+    """Ids of texts by the library, which sees each distinct unit of a worker's batches once.
 
-    A pre-token has the same ids alone as within its text, because merges never cross its ends.
+    A unit is a stretch from one space to the next. A space before anything but white space always begins
+    a pre-token, and merges never cross a pre-token's ends, so the units' ids in a row are the text's.
+    Where white space follows a space, the stretch goes on to the next space that does begin a pre-token.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores already
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.split = bpe.split_pattern()
-        self.special = bpe.any_of([t.content for t in self.library.get_added_tokens_decoder().values()])
+        self.special = {t.content: struct.pack("<I", k) for k, t in self.library.get_added_tokens_decoder().items()}
+        self.cut = regex.compile(f"({bpe.any_of(list(self.special)).pattern})") if self.special else None
         self.known: dict[str, bytes] = {}
 
-    def _pieces(self, text: str) -> list[str]:
-        if self.special is None or not self.special.search(text):
-            return self.split.findall(text)
-        found, at = [], 0
-        for m in self.special.finditer(text):
-            found += [*self.split.findall(text, at, m.start()), m.group()]
-            at = m.end()
-        return found + self.split.findall(text, at)
+    def _parts(self, text: str) -> list[str]:
+        """The stretches between special strings at even places, the strings themselves at odd ones."""
+        return self.cut.split(text) if any(s in text for s in self.special) else [text]
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        found = (e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False))
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without special strings."""
+        units = [t.split(" ") for t in texts]
+        heads = [u.pop(0) for u in units]  # no space before it
+        fresh = set().union(*units).difference(self.known)
+        if odd := {u for u in fresh if not u or u[0].isspace()}:  # never remembered, so always among the fresh
+            for i, t in enumerate(texts):
+                if not odd.isdisjoint(units[i]):
+                    heads[i], *units[i] = BEGINS.split(t)
+            fresh = set().union(*units).difference(self.known)
+        self.known.update(zip(fresh, self._ids([f" {u}" for u in fresh])))
+        known = self.known.__getitem__
+        ids = [head + b"".join(map(known, u)) for head, u in zip(self._ids(heads), units)]
+        for u in fresh:
+            if len(u) > LONGEST:
+                del self.known[u]
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, the closing id included."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        pieces = [self._pieces(t) for t in texts]
-        new: set[str] = set()
-        for tokens in pieces:
-            new.update(tokens)
-        fresh = [t for t in new if t not in self.known]
-        for t, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False)):
-            self.known[t] = np.array(e.ids, "<u4").tobytes()
-        closing = np.array([CLOSING], "<u4").tobytes()
-        known = self.known.__getitem__
-        encoded = [b"".join(map(known, tokens)) + closing for tokens in pieces]
-        for t in fresh:
-            if len(t) > LONGEST:
-                del self.known[t]
-        return encoded
+        parts = [self._parts(t) for t in texts]
+        plain = iter(self._plain([p for each in parts for p in each[::2]]))
+        closing = struct.pack("<I", CLOSING)
+        return [
+            b"".join(self.special[p] if k % 2 else next(plain) for k, p in enumerate(each)) + closing
+            for each in parts
+        ]
+
+
+@lru_cache(maxsize=1)
+def ids_by(path: str) -> Ids:
+    """One for all tasks of a worker, so that the file is read and common units are encoded once."""
+    return Ids(path)
 
 
 def pieces(df: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None,
@@ -89,7 +117,7 @@ def pieces(df: DataFrame, id: str = "doc_id", text: str = "text", path: str | No
     place = path or bpe.vocabulary_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(place)
+        ids = ids_by(place)
         for batch in slices(batches, "text", BATCH_BYTES):
             rows: list[tuple] = []
             for doc, raw in zip(batch.column("doc_id").to_pylist(), ids.encode(texts_of(batch.column("text")))):

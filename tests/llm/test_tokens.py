@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from norrsken.llm import bpe
-from norrsken.llm.packing import OpenBins, packed, pieces
+from norrsken.llm.packing import OpenBins, ids_by, packed, pieces
 from norrsken.llm.token_counts import Counter, token_counts
 
 PATH = bpe.vocabulary_path()
@@ -37,7 +37,17 @@ def test_counts_equal_library(docs, corpus, library):
 @given(st.lists(st.text(alphabet=st.sampled_from("aab th e's 'll\n\t 012é語😀<|endoftext|>  ſ"), max_size=60), max_size=6))
 def test_counts_of_any_text(texts):
     texts = texts + ["aaaaaaaaa", "ababababa", "<|endoftext|>", "a<|endoftext|><|endoftext|> b"]
-    assert Counter(PATH).count(texts).tolist() == [len(i) for i in _encoded(Tokenizer.from_file(PATH), texts)]
+    library = ids_by(PATH).library
+    assert Counter(PATH).count(texts).tolist() == [len(i) for i in _encoded(library, texts)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("ab   's\n\t\x1c\x85\xa0\u20281é語.😀"), max_size=40), max_size=6))
+def test_ids_of_any_white_space(texts):
+    texts = texts + ["", " ", "a  <|endoftext|>  b", " \n x", "a \n  b ", "a\t b<|endoftext|>"]
+    encoder = ids_by(PATH)
+    want = [np.array([*i, 0], "<u4").tobytes() for i in _encoded(encoder.library, texts)]
+    assert encoder.encode(texts) == want and encoder.encode(texts) == want
 
 
 def test_odd_rows(odd, none, odd_rows, library):
