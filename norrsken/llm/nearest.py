@@ -4,13 +4,15 @@ Centroids are fitted on a bounded sample by balanced splitting: a cluster with m
 the sample is split in two until all are small, so that lists are balanced. A graph links each centroid
 to its nearest ones; assigning and searching walk this graph in memory. A vector goes to its nearest
 centroid and, near a boundary, also to others whose distance is at most a ratio larger. A query reads
-the lists whose centroids' distances are within a ratio of its nearest one. All rows are indexed.
+the lists of its nearest centroids, as many as it takes on the sample for ``RECALL`` against brute force: few
+where vectors form groups, most of them where they do not. All rows are indexed.
 
 Inner product is turned into distance by one more component that gives all vectors the same norm.
 
 A vector that occurs many times is indexed once with its smallest ids, as many as any query can return;
-equal queries are searched once. Lists longer than a block, and lists that many queries read, are dealt to
-several tasks, in which a block of vectors meets a block of queries.
+equal queries are searched once. Neighbouring lists share a cell, the larger the more lists are read, so that a
+query travels to few cells; it meets the whole cell. Cells longer than a block, and cells that many queries read,
+are dealt to several tasks, in which a block of vectors meets a block of queries.
 
 Defined cases: vectors that are null, zero, of another length than most, or that hold null or
 non-finite components take no part; neither do null ids. Repeated rows (same id and vector) are one
@@ -40,11 +42,14 @@ BEAM = 64
 #: Boundary vectors: copies at most, and ratio of squared distances up to which they are made.
 COPIES = 4
 COPY_RATIO = 1.15
-#: Lists read by a query: at most and at least, and ratio of squared distances.
-LISTS = 40
-LEAST_LISTS = 12
-LIST_RATIO = 1.6
-#: Vectors of a list, and queries that read it, which meet in one task.
+#: Share of the sample's nearest vectors that must stand in the lists read, sample vectors it is measured with,
+#: and fewest lists read.
+RECALL = 0.97
+TRIED = 250
+LEAST_LISTS = 40
+#: Cells that the lists read by a query would fill, if they were neighbours.
+CELLS = 16
+#: Vectors of a cell, and queries that read it, which meet in one task.
 BLOCK = 4000
 ASKED = 4000
 
@@ -62,9 +67,12 @@ class Index:
         return np.c_[vectors, np.sqrt(rest)]
 
     def near(self, points: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``count`` nearest centroids found by a best-first walk of the graph, and squared distances."""
+        """The ``count`` nearest centroids, and squared distances: more than a beam's by all distances, others
+        by a best-first walk of the graph."""
         count = min(count, len(self.centroids))
-        beam = min(max(BEAM, count), len(self.centroids))
+        if count > BEAM:
+            return self.nearest_of_all(points, count)
+        beam = min(BEAM, len(self.centroids))
         found = np.empty((len(points), count), np.int64)
         dist = np.empty((len(points), count))
         for i, p in enumerate(points):
@@ -97,6 +105,24 @@ class Index:
             found[i], dist[i] = ids[:count], d[:count]
         return found, dist
 
+    def nearest_of_all(self, points: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+        found, dist = [np.empty((0, count), np.int64)], [np.empty((0, count))]
+        own = (self.centroids**2).sum(1)
+        for at in range(0, len(points), 256):
+            part = points[at:at + 256]
+            d = np.maximum(0.0, (part**2).sum(1)[:, None] - 2 * part @ self.centroids.T + own)
+            found.append(np.argsort(d, axis=1, kind="stable")[:, :count])
+            dist.append(np.take_along_axis(d, found[-1], 1))
+        return np.concatenate(found), np.concatenate(dist)
+
+    def points_of(self, queries: np.ndarray) -> np.ndarray:
+        return np.c_[queries * np.sqrt(self.norm / (queries**2).sum(1))[:, None], np.zeros(len(queries))]
+
+    def lists_of(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists that hold each vector: numbers, and which of them count."""
+        found, dist = self.near(self.lift(vectors), COPIES)
+        return found, (dist <= COPY_RATIO * dist[:, :1]) | (np.arange(found.shape[1]) < 1)
+
 
 def fit(sample: np.ndarray, norm: float, per_centroid: int = PER_CENTROID) -> Index:
     """Centroids by repeated balanced two-means, and the graph of their nearest neighbours."""
@@ -127,6 +153,31 @@ def fit(sample: np.ndarray, norm: float, per_centroid: int = PER_CENTROID) -> In
     return Index(centroids, links, np.sort(entry), norm)
 
 
+def lists_read(index: Index, sample: np.ndarray, k: int) -> int:
+    """How many lists a query has to read, so that RECALL of its k nearest vectors of the sample are in them.
+
+    A table larger than its sample is denser: neighbours are nearer, and fewer lists would do.
+    """
+    lists = len(index.centroids)
+    if len(sample) <= 1 or lists <= LEAST_LISTS:
+        return lists
+    tried = np.random.default_rng(5).permutation(len(sample))[:TRIED]
+    order, _ = index.nearest_of_all(index.points_of(sample[tried]), lists)
+    best = []
+    for i in tried:
+        scores = sample @ sample[i]
+        scores[i] = -np.inf
+        best.append(np.argsort(-scores, kind="stable")[:min(k, len(sample) - 1)])
+    ids, at = np.unique(np.concatenate(best), return_inverse=True)
+    found, counts = index.lists_of(sample[ids])
+    needed = []
+    for ranked, own in zip(order, at.reshape(len(tried), -1)):
+        place = np.empty(lists, np.int64)
+        place[ranked] = np.arange(1, lists + 1)
+        needed.append(np.where(counts[own], place[found[own]], lists).min(1))
+    return max(LEAST_LISTS, int(np.quantile(np.concatenate(needed), RECALL, method="higher")))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
@@ -164,32 +215,39 @@ def nearest(df: DataFrame, id: str = "vec_id", vector: str = "embedding", k: int
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not len(sample) or top is None:
         return empty
-    index = spark.sparkContext.broadcast(fit(_matrix(sample.column("v").combine_chunks()), top))
+    fitted = _matrix(sample.column("v").combine_chunks())
+    index = fit(fitted, top)
+    most = lists_read(index, fitted, k)
+    per_cell = -(-most // CELLS)
+    index = spark.sparkContext.broadcast(index)
 
-    def lists_of(ratio: float, most: int, least: int, lift: bool):
+    def cells_of(read: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not len(batch):
                     continue
                 v = _matrix(batch.column("v"))
-                points = index.value.lift(v) if lift else np.c_[v * np.sqrt(top / (v**2).sum(1))[:, None], np.zeros(len(v))]
-                found, dist = index.value.near(points, most)
-                chosen = (dist <= ratio * dist[:, :1]) | (np.arange(found.shape[1]) < least)
-                lists = pa.array([f[c].tolist() for f, c in zip(found, chosen)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "lists"])
+                if read:
+                    found, _ = index.value.near(index.value.points_of(v), most)
+                    chosen = np.ones(found.shape, bool)
+                else:
+                    found, chosen = index.value.lists_of(v)
+                # Lists are numbered in the order of the splits, so neighbours in number are neighbours.
+                cells = pa.array([np.unique(f[c] // per_cell).tolist() for f, c in zip(found, chosen)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, cells], [*batch.schema.names, "cells"])
         return run
 
     key_type = "key struct<a:long,b:long>"
     indexed = candidates.select("key", "v", "ids").mapInArrow(
-        lists_of(COPY_RATIO, COPIES, 1, True), f"{key_type}, v array<double>, ids array<long>, lists array<long>"
-    ).select("v", "ids", F.col("key"), F.explode("lists").alias("list"))
+        cells_of(False), f"{key_type}, v array<double>, ids array<long>, cells array<long>"
+    ).select("v", "ids", F.col("key"), F.explode("cells").alias("cell"))
     indexed = checkpointed(indexed)
     asked = checkpointed(queries.groupBy("key").agg(F.first("v").alias("v")).mapInArrow(
-        lists_of(LIST_RATIO, LISTS, LEAST_LISTS, False), f"{key_type}, v array<double>, lists array<long>"
-    ).select("key", "v", F.explode("lists").alias("list")))
+        cells_of(True), f"{key_type}, v array<double>, cells array<long>"
+    ).select("key", "v", F.explode("cells").alias("cell")))
 
     def blocks_of(frame: DataFrame, name: str, most: int) -> DataFrame:
-        return frame.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+        return frame.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
 
     def spread(name: str):
         return F.pmod(F.col("key.b"), F.col(name)).cast("int")
@@ -197,10 +255,10 @@ def nearest(df: DataFrame, id: str = "vec_id", vector: str = "embedding", k: int
     def each(name: str):
         return F.explode(F.sequence(F.lit(0), F.col(name) - 1))
 
-    # One row a list that is both filled and asked for.
-    blocks = blocks_of(indexed, "blocks", BLOCK).join(blocks_of(asked, "parts", ASKED), "list")
-    sliced = indexed.join(blocks, "list").select("list", spread("blocks").alias("block"), "v", "ids", each("parts").alias("part"))
-    asked = asked.join(blocks, "list").select("list", "key", "v", spread("parts").alias("part"), each("blocks").alias("block"))
+    # One row a cell that is both filled and asked for.
+    blocks = blocks_of(indexed, "blocks", BLOCK).join(blocks_of(asked, "parts", ASKED), "cell")
+    sliced = indexed.join(blocks, "cell").select("cell", spread("blocks").alias("block"), "v", "ids", each("parts").alias("part"))
+    asked = asked.join(blocks, "cell").select("cell", "key", "v", spread("parts").alias("part"), each("blocks").alias("block"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -223,11 +281,11 @@ def nearest(df: DataFrame, id: str = "vec_id", vector: str = "embedding", k: int
         columns = list(zip(*out)) or [(), (), ()]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["key", "vec_id", "score"])
 
-    meeting = ["list", "block", "part"]
+    meeting = ["cell", "block", "part"]
     found = asked.groupBy(*meeting).cogroup(sliced.groupBy(*meeting)).applyInArrow(
         search, f"{key_type}, vec_id long, score double"
     )
-    # A boundary vector comes from several lists; copies of one pair have the same score.
+    # A boundary vector comes from several cells; copies of one pair have the same score.
     best = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
     pairs = found.groupBy("key", "vec_id").agg(F.max("score").alias("score"))
     listed = pairs.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")

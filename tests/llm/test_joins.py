@@ -176,6 +176,22 @@ def test_recall(spark, sf):
         assert ranked == sorted(ranked, key=lambda x: (-x[1], x[0])) and len(ranked) == 20
 
 
+def test_recall_of_many_vectors_without_groups(spark):
+    v = np.random.default_rng(3).normal(size=(20_000, 64))
+    v = (v / np.sqrt((v**2).sum(1))[:, None]).astype(np.float32)
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": v.tolist()}))
+    got = defaultdict(set)
+    for r in nn.nearest(frame, every=200).collect():
+        got[r.query_id].add(r.vec_id)
+    want = {}
+    for i in range(0, len(v), 200):
+        scores = v.astype(np.float64) @ v[i].astype(np.float64)
+        scores[i] = -np.inf
+        want[i] = set(np.argsort(-scores, kind="stable")[:20].tolist())
+    assert set(got) == set(want)
+    assert np.mean([len(got[q] & w) / 20 for q, w in want.items()]) >= 0.95
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 0.5], "x") for i in range(0, 60)] + [
