@@ -438,16 +438,27 @@ def _open_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
     return placed.join(mains.select("group", "main"), "group")
 
 
+_ROW_KEY = "key struct<no_id:boolean,id:long,text:long>"
+
+
+def _row_key():
+    """Id and text of a row, never null; rows without an id come last."""
+    return F.struct(
+        F.col("doc_id").isNull().alias("no_id"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id"), F.xxhash64("text").alias("text"))
+
+
 def near_links(df: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, n_shingles, node) and enough verified links (a, b) for all components of the sets."""
+    """Rows (doc_id, n_shingles, node, key) and enough verified links (a, b) for all components of the sets."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", BATCH_BYTES):
             sets = shingle_sets(batch.column("text").to_pylist())
             nodes = [short(digest(s)) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())],
-                ["doc_id", "n_shingles", "node"],
+                [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array(nodes, pa.int64()), batch.column("key")],
+                ["doc_id", "n_shingles", "node", "key"],
             )
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,8 +471,8 @@ def near_links(df: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[D
                 ["node", "size", "profile", "hashes"],
             )
 
-    shaped = pick(df, doc_id=id, text=text)
-    rows = checkpointed(shaped.mapInArrow(describe, "doc_id long, n_shingles long, node long"))
+    shaped = pick(df, doc_id=id, text=text).withColumn("key", _row_key())
+    rows = checkpointed(shaped.mapInArrow(describe, f"doc_id long, n_shingles long, node long, {_ROW_KEY}"))
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, total // BUCKET)
     found = checkpointed(
@@ -472,11 +483,11 @@ def near_links(df: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[D
     groups = found.where("members is not null").select(
         F.xxhash64("members").alias("group"), "members").dropDuplicates(["group"])
     groups = groups.select("group", F.explode("members").alias("node"))
-    # Whole sets of the candidates only. A row of each class is chosen by id first, so that no other text travels.
+    # Whole sets of the candidates only. A row of each class is chosen by its key first, so that no other text travels.
     wanted = found.where("a is not null").select(F.explode(F.array("a", "b")).alias("node")).unionByName(
         found.where("members is not null").select(F.explode("members").alias("node"))).distinct()
-    chosen = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node", "left_semi")
-    texts = shaped.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    chosen = rows.groupBy("node").agg(F.min("key").alias("key")).join(wanted, "node", "left_semi")
+    texts = shaped.join(chosen.select("key"), "key", "left_semi").select("text")
     sets = checkpointed(
         texts.mapInArrow(sets_of, "node long, size long, profile binary, hashes binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     )

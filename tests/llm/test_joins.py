@@ -135,6 +135,22 @@ def test_odd_documents(odd, none, odd_rows):
     assert 5 in ids and 6 not in ids and 9 in ids and 10 not in ids and len([i for i in ids if i is not None]) == len({i for i in ids if i is not None})
 
 
+def test_copy_without_id_links_others(spark):
+    words = [f"w{i}" for i in range(200)]
+    far = [*words]
+    far[20], far[180] = "x", "y"
+    between = [*words]
+    between[20] = "x"
+    ends = [" ".join(words), " ".join(between), " ".join(far)]
+    ends[0] = ends[0].replace("w100 ", "z z z ")
+    ends[2] = ends[2].replace("w60 ", "q q q ").replace("w140 ", "r r r ")
+    sets = _plain_sets(ends)
+    like = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in ((0, 1), (1, 2), (0, 2))]
+    assert like[0] >= 0.8 and like[1] >= 0.8 > like[2]
+    frame = spark.createDataFrame([(5, ends[0]), (None, ends[1]), (9, ends[2])], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in jc.jaccard_components(frame).collect()} == {(5, 5), (None, 5), (9, 5)}
+
+
 def test_components(spark):
     rng = random.Random(5)
     pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(i, i + 1) for i in range(500, 700)]
