@@ -559,11 +559,15 @@ def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def first_of_each(df: DataFrame) -> DataFrame:
-    """The rows of a documents table that are the first of their component, one row of it."""
-    parts = jaccard_components(df)
-    keep = parts.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = df.alias("d").join(keep.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
-    # Rows that repeat an id are copies or variants of one document; the first text of it stays.
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[F.xxhash64(c) for c in df.columns])
-    single = kept.where("doc_id is not null").withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
-    return single.unionByName(kept.where("doc_id is null"))
+    """The rows of a documents table that are the first of their component, one row of it.
+
+    A row is known by its id and text, so rows that repeat an id or have none are decided by their own
+    components. Texts without a word are no copies of each other; only repeated rows of them go.
+    """
+    rows, known = near_links(df)
+    labelled = _labelled(rows, "node", components(known))
+    firsts = labelled.where("node is not null").groupBy("component").agg(F.min("key").alias("_key")).select("_key")
+    firsts = firsts.unionByName(rows.where("node is null").select(F.col("key").alias("_key")).distinct())
+    kept = df.withColumn("_key", _row_key()).join(firsts, "_key", "left_semi")
+    order = Window.partitionBy("_key").orderBy(*[F.xxhash64(c) for c in df.columns])
+    return kept.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*df.columns)

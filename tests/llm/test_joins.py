@@ -151,6 +151,17 @@ def test_copy_without_id_links_others(spark):
     assert {(r.doc_id, r.component_id) for r in jc.jaccard_components(frame).collect()} == {(5, 5), (None, 5), (9, 5)}
 
 
+def test_first_of_each_decides_by_row(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(1, one), (2, one + " end"), (2, two), (2, two), (7, three), (None, three), (None, one), (None, "d e f g h i"),
+            (None, "d e f g h i"), (3, ""), (4, ""), (4, "")]
+    frame = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, tie int")
+    kept = jc.first_of_each(frame)
+    assert kept.columns == frame.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(
+        [(1, one), (2, two), (7, three), (None, "d e f g h i"), (3, ""), (4, "")], key=repr)
+
+
 def test_components(spark):
     rng = random.Random(5)
     pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(i, i + 1) for i in range(500, 700)]
