@@ -12,6 +12,7 @@ a row each; only id and text are read, so further columns cannot clash.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -47,6 +48,12 @@ NOTICES = {
     "spdx license identifier": "spdx",
 }
 
+#: Base phrases that are also searched with errors, as whole words. In "mit license" only the second word may
+#: differ, as "omit license" is one edit away; "cc by" is too short for an edit.
+SHORT = {"mit license": "mit", "apache license": "apache"}
+#: A first word of so few characters stands as it is.
+FIXED_WORD = 3
+
 #: One edit is allowed for so many characters of a notice.
 CHARS_PER_EDIT = 10
 BATCH_BYTES = 8 << 20
@@ -68,13 +75,17 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Notices:
-    def __init__(self, notices: dict[str, str] | None = None, chars_per_edit: int = CHARS_PER_EDIT):
+    def __init__(self, notices: dict[str, str] | None = None, chars_per_edit: int = CHARS_PER_EDIT, whole_words: bool = False):
         self.notices = []
+        self.edge = int(whole_words)
         self.seeds = ahocorasick.Automaton()
         places: dict[str, list[tuple[int, int]]] = {}
         for number, (notice, label) in enumerate((notices or NOTICES).items()):
             edits = len(notice) // chars_per_edit
-            pattern = regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={edits}}}")
+            first = notice.split(" ")[0] + " "
+            fixed = first if whole_words and len(first) <= FIXED_WORD + 1 else ""
+            fuzzy = f"{regex.escape(fixed)}(?:{regex.escape(notice[len(fixed):])}){{e<={edits}}}"
+            pattern = regex.compile(f"(?b)(?<= ){fuzzy}(?= )" if whole_words else f"(?b){fuzzy}")
             self.notices.append((notice, label, edits, pattern))
             cuts = [len(notice) * i // (edits + 1) for i in range(edits + 2)]
             for a, b in zip(cuts, cuts[1:]):
@@ -104,11 +115,16 @@ class Notices:
         """label, start, end, edits, likeness of each match, in the joined words."""
         out = []
         for number, stretches in self.windows(text).items():
-            notice, label, _, pattern = self.notices[number]
-            for low, high in stretches:
-                for m in pattern.finditer(text[low:high]):
-                    edits = sum(m.fuzzy_counts)
-                    out.append((label, low + m.start(), low + m.end(), edits, 1 - edits / len(notice)))
+            notice, label, most, pattern = self.notices[number]
+            # The best match of a stretch is found first, then what stands on either side of it.
+            todo = [(max(0, low - self.edge), min(len(text), high + self.edge)) for low, high in stretches]
+            while todo:
+                low, high = todo.pop()
+                if high - low < len(notice) - most or not (m := pattern.search(text[low:high])):
+                    continue
+                start, end, edits = low + m.start(), low + m.end(), sum(m.fuzzy_counts)
+                out.append((label, start, end, edits, 1 - edits / len(notice)))
+                todo += [(low, start), (end, high)]
         return sorted(set(out))
 
 
@@ -123,6 +139,11 @@ def phrase_places(joined: bytes, phrase: bytes) -> list[int]:
     return places
 
 
+@lru_cache(maxsize=1)
+def short_notices() -> Notices:
+    return Notices(SHORT, whole_words=True)
+
+
 def scan(text: str, notices: Notices) -> tuple:
     words = words_of(text)
     joined = b" " + b" ".join(words) + b" "
@@ -131,7 +152,8 @@ def scan(text: str, notices: Notices) -> tuple:
         if found := phrase_places(joined, phrase.encode()):
             places += found
             base.add(label)
-    matches = notices.matches(joined.decode("utf-8", "surrogatepass")) if words else []
+    text = joined.decode("utf-8", "surrogatepass")
+    matches = sorted({*notices.matches(text), *short_notices().matches(text)}) if words else []
     labels = base | {m[0] for m in matches}
     score = 1.0 if base else max((m[4] for m in matches), default=0.0)
     return (

@@ -88,6 +88,37 @@ def test_license_spans():
     assert joined[span["start"]:span["end"]].strip() == "released under the mti license" and span["edits"] == 2
 
 
+def test_short_phrases_with_errors():
+    for text, label in (("licensed under the MIT Licence", "mit"), ("the Apache Licence", "apache"), ("MIT Lisense.", "mit"),
+                        ("an Apche License", "apache")):
+        assert label in lc.scan(text, lc.Notices())[5].split(","), text
+    for text in ("please omit license texts", "submit license", "the apache helicopter", "mit listens", "cc bye"):
+        assert lc.scan(text, lc.Notices())[5] == "", text
+
+
+def test_worse_match_before_a_better_one_is_found():
+    text = " mozila public license mozilla public license "
+    assert [m[3] for m in lc.Notices().matches(text)] == [1, 0]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.sampled_from(sorted(lc.NOTICES)), st.lists(st.lists(st.integers(0, 80), max_size=2), min_size=1, max_size=4),
+       st.sampled_from([" ", " z ", " zzzz zz "]))
+def test_every_copy_of_a_notice_is_found(notice, copies, between):
+    text, places = " ", []
+    for holes in copies:
+        copy = list(notice)
+        for at in holes[: len(notice) // lc.CHARS_PER_EDIT]:
+            copy[at % len(copy)] = "q"
+        places.append((len(text), len(text) + len(copy)))
+        text += "".join(copy) + between
+    spans = [m[1:3] for m in lc.Notices({notice: "x"}).matches(text)]
+    assert all(any(a < end and start < b for a, b in spans) for start, end in places)
+    assert len(spans) >= len(copies) and all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))
+    for a, b in spans:
+        assert _distance_within(notice, text[a:b]) <= len(notice) // lc.CHARS_PER_EDIT
+
+
 # Language ID
 
 
