@@ -38,10 +38,14 @@ PERIOD = 8192
 CLASSES = 256
 #: Characters that walk side by side.
 BATCH_CHARS = 8 << 20
-#: Bands, and bits of each, for near texts.
-BANDS = 16
+#: Bands, and bits of each, for near texts. At a likeness of NEAR bits agree at 0.9, and a pair shares a band at
+#: 1 - (1 - 0.9**24)**40 = 0.96.
+BANDS = 40
 BAND_BITS = 24
 NEAR = 0.8
+#: Members of a bucket that meet in one task, and members of small buckets that share a task.
+BLOCK = 1000
+TASK_ROWS = 20_000
 
 SCHEMA = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
@@ -170,23 +174,62 @@ def fingerprints(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
     return pick(df, doc_id=id, text=text).mapInArrow(run, "doc_id long, fingerprint binary, bands array<long>")
 
 
+def _near_forest(prints: np.ndarray, near: float) -> list[tuple[int, int, float]]:
+    """Near pairs (i, j, likeness) that link the rows of ``prints`` wherever pairs of all rows would."""
+    equal = np.zeros((len(prints), len(prints)), np.uint8)
+    for slot in prints.T:
+        equal += slot[:, None] == slot[None]
+    out, seen = [], np.zeros(len(prints), bool)
+    for root in range(len(prints)):
+        todo = [] if seen[root] else [root]
+        seen[root] = True
+        while todo:
+            i = todo.pop()
+            new = np.flatnonzero((equal[i] >= near * SLOTS) & ~seen)
+            seen[new] = True
+            out += [(i, j, equal[i, j] / SLOTS) for j in new.tolist()]
+            todo += new.tolist()
+    return out
+
+
 def near_documents(df: DataFrame, id: str = "doc_id", text: str = "text", near: float = NEAR) -> DataFrame:
-    """doc_id, near_id, likeness: each document against the first of its bands' documents, verified.
+    """doc_id, near_id, likeness: verified near pairs, enough to link all documents that near pairs of a bucket link.
 
-    Documents of one fingerprint stand in for each other. In a band's bucket all others are held
-    against the one of smallest id, so a bucket gives as many pairs as it has members.
+    Documents of one fingerprint stand in for each other. In a band's bucket all members are held against each
+    other, in pairs of blocks where the bucket is large; a meeting gives fewer pairs than it has members.
     """
-    prints = fingerprints(df, id, text)
+    prints = checkpointed(fingerprints(df, id, text))
     classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
-    opened = classes.select("first_id", "fingerprint", F.explode("bands").alias("band"))
-    heads = opened.groupBy("band").agg(F.min(F.struct("first_id", "fingerprint")).alias("head"))
-    pairs = opened.join(heads, "band").where(F.col("head.first_id") < F.col("first_id")).select(
-        "first_id", "fingerprint", F.col("head.first_id").alias("near_id"), F.col("head.fingerprint").alias("other")
-    ).distinct()
-    slot = F.sequence(F.lit(1), F.lit(SLOTS))
-    equal = F.size(F.filter(slot, lambda i: F.substring("fingerprint", i, F.lit(1)) == F.substring("other", i, F.lit(1))))
-    verified = pairs.withColumn("likeness", equal / F.lit(SLOTS)).where(F.col("likeness") >= near)
-    return prints.join(verified.drop("other"), "fingerprint").select("doc_id", "near_id", "likeness").unionByName(
+    opened = checkpointed(classes.select("first_id", "fingerprint", F.explode("bands").alias("band")))
+    buckets = checkpointed(opened.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    tasks = (buckets.agg(F.sum("n")).first()[0] or 0) // TASK_ROWS + 1
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    members = opened.join(buckets, "band").withColumn("blocks", blocks).withColumn(
+        "own", F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int")).withColumn(
+        "task", F.when(F.col("blocks") > 1, F.col("band")).otherwise(-1 - F.pmod(F.xxhash64("band"), F.lit(tasks))))
+    met = members.select(
+        "task", "band", "first_id", "fingerprint", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    ).select("task", "band", "first_id", "fingerprint", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("col"))
+
+    def link(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("band", "ascending"), ("first_id", "ascending"), ("fingerprint", "ascending")])
+        band = table.column("band").to_numpy()
+        ids, raw = table.column("first_id").to_pylist(), table.column("fingerprint").to_pylist()
+        flat = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, SLOTS)
+        cuts = [0, *(np.flatnonzero(np.diff(band)) + 1).tolist(), len(band)]
+        out = []
+        for a, b in zip(cuts, cuts[1:]):
+            for i, j, like in _near_forest(flat[a:b], near):
+                # Ids were sorted with null last.
+                i, j = a + min(i, j), a + max(i, j)
+                out.append((raw[j], ids[i], like))
+        kinds = [pa.binary(), pa.int64(), pa.float64()]
+        columns = list(zip(*out)) or [(), (), ()]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], ["fingerprint", "near_id", "likeness"])
+
+    verified = met.groupBy("task", "row", "col").applyInArrow(
+        link, "fingerprint binary, near_id long, likeness double").distinct()
+    return prints.join(verified, "fingerprint").select("doc_id", "near_id", "likeness").unionByName(
         prints.join(classes.select("fingerprint", "first_id"), "fingerprint")
         .where(F.col("first_id") < F.col("doc_id"))
         .select("doc_id", F.col("first_id").alias("near_id"), F.lit(1.0).alias("likeness"))

@@ -212,6 +212,33 @@ def test_near_documents(spark):
     assert (4, 1) in got and (2, 1) in got and not any(3 in p or 5 in p for p in got)
 
 
+def test_near_documents_of_a_large_bucket(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    prints = [rng.integers(0, 256, fp.SLOTS, np.uint8) for _ in range(150)]
+    for i in range(150):  # a near partner for each, at a likeness just above NEAR
+        other = prints[i].copy()
+        other[rng.choice(fp.SLOTS, 25, replace=False)] += 1
+        prints.append(other)
+    shared = [p.tobytes() for p in prints]
+    monkeypatch.setattr(fp, "BLOCK", 64)
+    monkeypatch.setattr(fp, "fingerprints", lambda *_: spark.createDataFrame(
+        [(i, p, [7]) for i, p in enumerate(shared)], "doc_id long, fingerprint binary, bands array<long>"))
+    got = {(r.doc_id, r.near_id): r.likeness for r in fp.near_documents(None).collect()}
+    want = {(j, i): fp.likeness(shared[i], shared[j]) for j in range(300) for i in range(j) if fp.likeness(shared[i], shared[j]) >= fp.NEAR}
+    assert got == want and len(want) == 150
+
+
+def test_bands_recall_at_near():
+    rng = np.random.default_rng(5)
+    hits = 0
+    for _ in range(600):
+        a = rng.integers(0, 256, fp.SLOTS, np.uint8)
+        b = a.copy()
+        b[rng.choice(fp.SLOTS, 25, replace=False)] = rng.integers(0, 256, 25, np.uint8)
+        hits += not set(fp.bands(a.tobytes())).isdisjoint(fp.bands(b.tobytes()))
+    assert hits / 600 >= 0.95
+
+
 # Line dedup
 
 
