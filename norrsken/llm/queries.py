@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from norrsken.llm import fingerprints, jaccard, language, licenses, line_dedup, mixing, nearest, packing, substring_dedup, token_counts
+from norrsken.llm import decontaminate, fingerprints, jaccard, language, licenses, line_dedup, merkle, mixing, nearest, packing, search, substring_dedup, token_counts
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,9 +15,15 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_language_id": language.op9_language_id,
     "op10_mixing": mixing.op10_mixing,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_ranked_search": search.op12_ranked_search,
+    "op13_decontamination": decontaminate.op13_decontamination,
 }
 
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
+    "op12_ranked_search": search.ORACLE,
+    "op13_decontamination": decontaminate.ORACLE,
 }
