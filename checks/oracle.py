@@ -679,12 +679,14 @@ picks as (
 due as (
   select p.*, h.horizon, h.n, list_filter(generate_series(p.d + 1, p.d + 100, interval 1 day), lambda x: isodow(x) < 6)[h.n]::date as due_date
   from picks p cross join (values ('1d', 1), ('5d', 5), ('20d', 20), ('60d', 60)) h(horizon, n))"""
-OUTCOME = USERS + f""",
+def outcome_ctes(entry_snapshots: str = "snaps") -> str:
+    """Picks, due days, benchmark and outcomes. A ledger knows the snapshots of its run days only."""
+    return USERS + f""",
 spans as (select distinct country, d, due_date from due),
 bench as (
   select s.country, s.d, s.due_date, count(*) as peers,
     {rd("sum(cast((b.price - a.price) / a.price * 100e0 as decimal(24,8)))::double / count(*)", 2)} as benchmark_return_pct
-  from spans s join snaps a on a.country = s.country and a.d = s.d and a.price <> 0
+  from spans s join {entry_snapshots} a on a.country = s.country and a.d = s.d and a.price <> 0
   join snaps b on b.ticker = a.ticker and b.country = a.country and b.currency = a.currency and b.d = s.due_date
   group by s.country, s.d, s.due_date),
 runs as (select distinct cast(ts as date) as r from events where day(ts) <> 17),
@@ -705,6 +707,10 @@ outcomes as (
       left join bench b on b.country = x.country and b.d = x.d and b.due_date = x.due_date)))"""
 
 
+OUTCOME = outcome_ctes()
+RUN_OUTCOME = outcome_ctes("(select * from snaps where day(d) <> 17)")
+
+
 def _register_ledger(add) -> None:
     users, outcome = "with" + USERS, "with" + OUTCOME
     add("due_dates", users + " select pick_id, horizon, due_date::varchar as due_date from due")
@@ -712,8 +718,11 @@ def _register_ledger(add) -> None:
 with days as (select unnest(generate_series(min(o_orderdate)::date, max(o_orderdate)::date, interval 1 day))::date as d from orders)
 select d::varchar as day, n::bigint as n, list_filter(generate_series(d + 1, d + 100, interval 1 day), lambda x: isodow(x) < 6)[n]::date::varchar as due
 from days cross join (values (1), (5), (20), (60)) h(n)""")
-    add("outcomes", outcome + """ select pick_id, horizon, due_date::varchar as due_date, as_of_date::varchar as as_of_date, status,
-  price, currency, return_pct, benchmark_label, benchmark_return_pct, excess_return_pct from outcomes""")
+    outcome_rows = """ select pick_id, horizon, due_date::varchar as due_date, {} as as_of_date, status,
+  price, currency, return_pct, benchmark_label, benchmark_return_pct, excess_return_pct from outcomes"""
+    add("outcomes", outcome + outcome_rows.format("as_of_date::varchar"))
+    for name in ("stream_settlement", "ledger_daily_update"):
+        add(name, "with" + RUN_OUTCOME + outcome_rows.format("case when status <> 'not_due' then as_of_date::varchar end"))
     add("country_benchmark", outcome + """ select country, d::varchar as report_date, due_date::varchar as due_date, peers,
   benchmark_return_pct from bench""")
     add("ledger_upsert", outcome + """,
@@ -819,7 +828,7 @@ from (values ('all'), ('trading'), ('long-term')) s(scope) left join (select * f
 with last as (select arg_max(event_type, ts) as kind, cast(ts as date) as d from events where user_id % 50 <> 7 group by user_id, cast(ts as date))
 select *, {tone} from (select d::varchar as snapshot_date, count(*) as companies, count(*) filter (kind = 'purchase') as positive_movers,
   count(*) filter (kind = 'error') as selloffs, count(*) filter (kind = 'click') as active_turnover
-from last where d + 1 <= (select max(ts) - interval 1 day from events) group by d)""")
+from last group by d)""")
 
 
 def _register_calendar_and_scans(add) -> None:

@@ -12,6 +12,10 @@ from norrsken.functions.numeric import round_dp
 from norrsken.schemas import OUTCOMES, SNAPSHOTS, conform
 
 
+#: Groups that one country's rows of one day are dealt to.
+BENCHMARK_BUCKETS = 64
+
+
 def pick_id(report_date: Column, strategy: Column, country: Column, ticker: Column) -> Column:
     return F.concat_ws("|", report_date.cast("string"), strategy, country, ticker)
 
@@ -56,34 +60,47 @@ def open_outcomes(picks: DataFrame) -> DataFrame:
     return conform(with_horizons(picks).withColumn("status", F.lit(K.NOT_DUE)), OUTCOMES)
 
 
+def _bucket() -> Column:
+    """A company's bucket: a country's rows of a day lie in as many groups."""
+    return F.pmod(F.xxhash64("ticker"), F.lit(BENCHMARK_BUCKETS))
+
+
 def country_benchmark(snapshots: DataFrame, spans: DataFrame) -> DataFrame:
     """Mean return of all peers present on both days in the same currency, per span.
 
     ``spans`` holds the wanted (country, report_date, due_date) combinations. It is reduced to
-    distinct spans first, so the peers are joined once per span and not once per pick. The mean
-    is summed as decimals: the result does not depend on how rows met in partitions.
+    distinct spans first, so the peers are joined once per span and not once per pick. One country
+    may hold most rows of a day, so companies lie in buckets: the few spans are repeated for every
+    bucket, both joins have bucket or ticker in their key, and gains are summed by bucket before
+    country and days meet. The mean is summed as decimals: the result does not depend on how rows
+    met in partitions.
     """
-    spans = spans.select("country", "report_date", "due_date").distinct()
+    buckets = F.explode(F.sequence(F.lit(0), F.lit(BENCHMARK_BUCKETS - 1)).cast("array<bigint>"))
+    spans = spans.select("country", "report_date", "due_date").distinct().withColumn("bucket", buckets)
     quotes = snapshots.select("country", "ticker", "snapshot_date", "price", "currency")
     entry = quotes.where("price is not null and price <> 0").select(
         "country", "ticker", F.col("snapshot_date").alias("report_date"),
-        F.col("price").alias("from_price"), "currency",
+        F.col("price").alias("from_price"), "currency", _bucket().alias("bucket"),
     )
     last = quotes.where("price is not null").select(
         "country", "ticker", F.col("snapshot_date").alias("due_date"),
         F.col("price").alias("to_price"), "currency",
     )
     gain = (F.col("to_price") - F.col("from_price")) / F.col("from_price") * 100.0
-    return (
-        entry.join(spans, ["country", "report_date"])
+    sums = (
+        entry.join(spans, ["country", "report_date", "bucket"])
         .join(last, ["country", "ticker", "due_date", "currency"])
-        .groupBy("country", "report_date", "due_date")
+        .groupBy("country", "report_date", "due_date", "bucket")
         .agg(
             F.sum(F.round(gain, 8).try_cast("decimal(24,8)")).alias("gains"),
             # Beyond the decimal's range the sum of such gains is a double: one odd quote ends no run.
             F.sum(F.when(gain.try_cast("decimal(24,8)").isNull(), gain)).alias("odd_gains"),
             F.count("*").alias("peers"),
         )
+    )
+    return (
+        sums.groupBy("country", "report_date", "due_date")
+        .agg(*(F.sum(n).alias(n) for n in ("gains", "odd_gains", "peers")))
         .select(
             "country", "report_date", "due_date", "peers",
             round_dp((F.coalesce(F.col("gains").cast("double"), F.lit(0.0)) + F.coalesce("odd_gains", F.lit(0.0)))
@@ -108,7 +125,7 @@ def run_date_index(run_dates: DataFrame) -> DataFrame:
     return spans.select(F.explode(days).alias("due_date"), F.col("run_date").alias("as_of_date"))
 
 
-def _settle(due: DataFrame, quotes: DataFrame, snapshots: DataFrame) -> DataFrame:
+def settle(due: DataFrame, quotes: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Status, price and returns of rows that have a due date and the run that decides them.
 
     ``quotes`` must not be filtered: a quote without price is still reported as missing.
@@ -168,7 +185,7 @@ def evaluate_history(
     # A due date before the first run was missed by it.
     earliest = first_run.scalar()
     as_of = F.coalesce("as_of_date", F.when(F.col("due_date") < earliest, earliest))
-    return _settle(due.withColumn("as_of_date", as_of), quotes, snapshots)
+    return settle(due.withColumn("as_of_date", as_of), quotes, snapshots)
 
 
 def update_due(
@@ -197,5 +214,5 @@ def update_due(
         .join(entry, ["pick_id", "report_date"])
     )
     window = snapshots.where(c("snapshot_date") <= today)
-    settled = conform(_settle(moving, day_quotes, window), OUTCOMES)
+    settled = conform(settle(moving, day_quotes, window), OUTCOMES)
     return conform(keyed.where(~c("moves")), OUTCOMES).unionByName(settled)

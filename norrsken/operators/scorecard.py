@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DateType, LongType, StringType, StructField, StructType
 
 from norrsken import constants as K
 from norrsken.functions.numeric import percent_text, round_dp
@@ -38,20 +39,27 @@ def _share(part: str, n: str) -> Column:
     return round_dp(F.col(part) / F.nullif(F.col(n), F.lit(0)) * 100.0, 1)
 
 
-def horizon_scorecard(
-    outcomes: DataFrame, strategies: Sequence[str] = K.TRACKED_STRATEGIES
-) -> DataFrame:
-    """Counts, hit and loss rates, mean, median, spread and benchmark per strategy and horizon.
+#: Mergeable state of the scorecard: rows of different days and runs add up.
+TALLIES = StructType(
+    [
+        StructField("strategy", StringType()),
+        StructField("horizon", StringType()),
+        StructField("due_date", DateType()),
+        StructField("cents", LongType()),
+        *(
+            StructField(name, LongType())
+            for name in ("n", "benchmark_cents", "benchmarks", "excess_cents", "excesses", "excess_hits")
+        ),
+    ]
+)
+_COUNTS = TALLIES.names[4:]
 
-    Rows are first counted per distinct return in hundredths of a percent. That shrinks any
-    number of picks to the number of distinct returns, and median and spread come exactly out of
-    the counts: no group's raw returns ever meet in one place.
-    """
+
+def _tallied(outcomes: DataFrame, *by: str) -> DataFrame:
     c = F.col
-    group = ["strategy", "horizon"]
-    tallies = (
+    return (
         completed(outcomes)
-        .groupBy(*group, _cents(c("return_pct")).alias("cents"))
+        .groupBy(*by, _cents(c("return_pct")).alias("cents"))
         .agg(
             F.count("*").alias("n"),
             F.sum(_cents(c("benchmark_return_pct"))).alias("benchmark_cents"),
@@ -61,6 +69,37 @@ def horizon_scorecard(
             F.count_if(c("excess_return_pct") > 0).alias("excess_hits"),
         )
     )
+
+
+def return_tallies(outcomes: DataFrame) -> DataFrame:
+    """Completed outcomes counted per strategy, horizon, due day and return in hundredths of a percent.
+
+    Any number of picks becomes as many rows as there are distinct returns. Counts of further days are
+    rows of their own, so the figures of any range of days come from these without the outcomes.
+    """
+    return _tallied(outcomes, "strategy", "horizon", "due_date")
+
+
+def horizon_scorecard(
+    outcomes: DataFrame, strategies: Sequence[str] = K.TRACKED_STRATEGIES
+) -> DataFrame:
+    """Counts, hit and loss rates, mean, median, spread and benchmark per strategy and horizon."""
+    return _scorecard(_tallied(outcomes, "strategy", "horizon"), strategies)
+
+
+def scorecard_of(tallies: DataFrame, strategies: Sequence[str] = K.TRACKED_STRATEGIES) -> DataFrame:
+    """The scorecard out of ``return_tallies`` of any days."""
+    counts = (F.sum(name).alias(name) for name in _COUNTS)
+    return _scorecard(tallies.groupBy("strategy", "horizon", "cents").agg(*counts), strategies)
+
+
+def _scorecard(tallies: DataFrame, strategies: Sequence[str]) -> DataFrame:
+    """Figures out of one row per strategy, horizon and return in hundredths.
+
+    Median and spread come exactly out of the counts: no group's raw returns ever meet in one place.
+    """
+    c = F.col
+    group = ["strategy", "horizon"]
     n, cents = c("n"), c("cents")
     exact, weight = cents.cast("decimal(14,0)"), n.cast("decimal(18,0)")
     # The two middle values: where the running count reaches, and passes, half of the rows.
@@ -106,7 +145,7 @@ def horizon_scorecard(
         for s in strategies
         for h, d in K.HORIZONS.items()
     ]
-    grid = outcomes.sparkSession.range(1).select(F.inline(F.array(*cells)))
+    grid = tallies.sparkSession.range(1).select(F.inline(F.array(*cells)))
     return grid.join(figures, group, "left").withColumns(
         {
             "completed": F.coalesce("completed", F.lit(0)),

@@ -464,12 +464,14 @@ def report_scan(spark, sf):
 # Streams -----------------------------------------------------------------------------------------
 
 
-def _write_reports(spark, sf, path, block: int = 50):
+def _write_reports(spark, sf, path, block: int = 50, days: Column | None = None):
     """Picks as report files, one document per day, strategy and block of names.
 
-    A block bounds the items that meet in one document, whatever the size of a day.
+    A block bounds the items that meet in one document, whatever the size of a day. ``days`` takes some report days.
     """
     picks = tt.picks(spark, sf)
+    if days is not None:
+        picks = picks.where(days)
     company = F.struct("ticker", "name", "country", "exchange", "segment", "sector")
     item = F.struct(
         "rank", company.alias("company"),
@@ -484,7 +486,7 @@ def _write_reports(spark, sf, path, block: int = 50):
     metadata = F.struct(c("report_date").cast("string").alias("generated_at"), "strategy")
     documents.select("report_date", metadata.alias("metadata"), "items").hint(
         "rebalance", "report_date"
-    ).write.partitionBy("report_date").json(path)
+    ).write.mode("append").partitionBy("report_date").json(path)
 
 
 def stream_ledger(spark, sf):
@@ -498,6 +500,45 @@ def stream_ledger(spark, sf):
     return picks.join(opened, "pick_id")
 
 
+def _outcome_rows(ledger):
+    return ledger.table("outcomes").select(
+        "pick_id", "horizon", as_text("due_date"), as_text("as_of_date"), "status", "price",
+        "currency", "return_pct", "benchmark_label", "benchmark_return_pct", "excess_return_pct",
+    )
+
+
+def stream_settlement(spark, sf):
+    """Reports and quotes land in three parts; the stream settles after each what is due."""
+    folder = shared_folder(spark, "ledger-stream")
+    quotes = tt.daily_quotes(spark, sf)
+    ledger = Ledger(spark, f"{folder}/ledger")
+    for first, last in ((1, 10), (11, 20), (21, 31)):
+        _write_reports(spark, sf, f"{folder}/reports", days=F.dayofmonth("report_date").between(first, last))
+        run_day = F.dayofmonth("quote_date")
+        quotes.where(run_day.between(first, last) & (run_day != 17)).write.mode("append").parquet(f"{folder}/quotes")
+        landed = spark.readStream.schema(quotes.schema).parquet(f"{folder}/quotes")
+        run = stream_ledger_update(
+            report_stream(spark, f"{folder}/reports"), ledger, f"{folder}/progress", quotes=landed)
+        run.awaitTermination()
+    return _outcome_rows(ledger)
+
+
+def _run_ledger(spark, sf):
+    """A ledger caught up with all run days but the last two, which are run one by one."""
+    ledger = Ledger(spark, f"{shared_folder(spark, 'ledger-runs')}/ledger")
+    picks, quotes = tt.picks(spark, sf), tt.daily_quotes(spark, sf)
+    days = sorted(row[0] for row in tt.run_dates(spark, sf).collect())
+    ledger.update_days(picks.where(c("report_date") <= days[-3]), quotes, days[:-2])
+    for before, day in zip(days[-3:], days[-2:]):
+        reported = picks.where((c("report_date") > before) & (c("report_date") <= day))
+        ledger.update(reported, quotes.where(c("quote_date") == day), day)
+    return ledger
+
+
+def ledger_daily_update(spark, sf):
+    return _outcome_rows(_run_ledger(spark, sf))
+
+
 def stream_context(spark, sf):
     folder = shared_folder(spark, "context-stream")
     schema = tt.table(spark, sf, "events").schema
@@ -572,5 +613,7 @@ QUERIES: dict[str, Query] = {
     "latest_listing": latest_listing,
     "report_scan": report_scan,
     "stream_ledger_update": stream_ledger,
+    "stream_settlement": stream_settlement,
+    "ledger_daily_update": ledger_daily_update,
     "stream_market_context": stream_context,
 }
