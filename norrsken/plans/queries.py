@@ -36,7 +36,7 @@ from norrsken.sources import reports as rp
 from norrsken.sources import testtables as tt
 from norrsken.sources.ledger import Ledger, merge_picks
 from norrsken.streaming.ledger_updates import report_stream, stream_ledger_update
-from norrsken.streaming.market_context import start_context_sink, stream_market_context
+from norrsken.streaming.market_context import read_context, start_context_sink, stream_market_context
 
 Query = Callable[[SparkSession, str], DataFrame]
 c = F.col
@@ -559,7 +559,7 @@ def stream_context(spark, sf):
     context = stream_market_context(quotes)
     run = start_context_sink(context, f"{folder}/context", f"{folder}/progress")
     run.awaitTermination()
-    return _context(spark.read.parquet(f"{folder}/context"))
+    return _context(read_context(spark, f"{folder}/context"))
 
 
 QUERIES: dict[str, Query] = {

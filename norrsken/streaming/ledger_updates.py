@@ -38,8 +38,8 @@ def stream_ledger_update(
         both = both.unionByName(quotes.select(F.struct("*").alias("quote")), allowMissingColumns=True)
 
     def upsert(batch: DataFrame, number: int) -> None:
-        # Read once: the files of a batch are parsed for picks, rejects and quotes.
-        landed = checkpointed(batch)
+        # With quotes the files of a batch are read once for picks, rejects and quotes.
+        landed = checkpointed(batch) if quotes is not None else batch
         found = landed.where("report is not null").select("report.*")
         ledger.reject(rejected_reports(found), number)
         picks = report_picks(found, F.col("report_date"))

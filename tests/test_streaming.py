@@ -5,14 +5,16 @@ from __future__ import annotations
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from norrsken.operators.scorecard import daily_market_context
+from norrsken.operators import outcomes as oc
+from norrsken.operators.scorecard import daily_market_context, horizon_scorecard, scorecard_of
 from norrsken.plans import queries as q
 from norrsken.sources import testtables as tt
-from norrsken.sources.ledger import Ledger
+from norrsken.sources.ledger import ConcurrentRun, Ledger, read_ledger
 from norrsken.streaming.ledger_updates import report_stream, stream_ledger_update
-from norrsken.streaming.market_context import start_context_sink, stream_market_context
+from norrsken.streaming.market_context import read_context, start_context_sink, stream_market_context
 from tests.conftest import SF
 
 QUOTE = "ts timestamp, ticker string, country string, price double, currency string, catalysts array<string>, risks array<string>"
@@ -30,17 +32,21 @@ def test_context_stream_takes_the_last_quote_of_closed_days(spark, tmp_path):
         spark.createDataFrame(rows, QUOTE).coalesce(1).write.mode("append").parquet(landing)
         stream = spark.readStream.schema(QUOTE).parquet(landing)
         start_context_sink(stream_market_context(stream), out, progress).awaitTermination()
-        return {str(r.snapshot_date): r for r in spark.read.parquet(out).collect()}
+        every = {str(r.snapshot_date): r for r in read_context(spark, out).collect()}
+        return every, {d: r for d, r in every.items() if r.closed}
 
     first = (quote(11, 8, "A", mover=True), quote(11, 9, "B", mover=True), quote(11, 9, "C", price=None), quote(11, 10, "A"))
-    land(*first)
+    every, rows = land(*first)
+    # The open day is visible, and replaced by every batch; B moves, A does not any more, C has no price.
+    assert not rows and (every["2026-05-11"].companies, every["2026-05-11"].positive_movers) == (2, 1)
     # Late but inside the allowed day: A moves again. Day 11 closes when day 13 arrives.
     late = (quote(12, 9, "A", selloff=True), quote(12, 9, "B", selloff=True), quote(11, 18, "A", mover=True))
     land(*late)
-    rows = land(quote(13, 9, "A"))
-    assert set(rows) == {"2026-05-11"}
-    rows = land(quote(15, 9, "A"))
-    assert set(rows) == {"2026-05-11", "2026-05-12", "2026-05-13"}
+    every, rows = land(quote(13, 9, "A"))
+    assert set(rows) == {"2026-05-11"} and set(every) == {"2026-05-11", "2026-05-12", "2026-05-13"}
+    # A quote of a closed day changes nothing, and an empty last quote takes a company out.
+    every, rows = land(quote(15, 9, "A"), quote(15, 9, "B"), quote(15, 10, "B", price=None), quote(11, 23, "D", mover=True))
+    assert set(rows) == {"2026-05-11", "2026-05-12", "2026-05-13"} and every["2026-05-15"].companies == 1
     assert (rows["2026-05-11"].companies, rows["2026-05-11"].positive_movers) == (2, 2)
     assert rows["2026-05-11"].tone == "Risk-on / broad momentum"
     assert rows["2026-05-12"].tone == "Risk-off / broad selloff"
@@ -89,3 +95,116 @@ def test_ledger_stream_is_idempotent(spark, tmp_path):
     stream_ledger_update(report_stream(spark, reports), ledger, str(tmp_path / "p2")).awaitTermination()
     assert {r.pick_id: r.entry_price for r in ledger.table("picks").collect()} == want
     assert ledger.table("outcomes").count() == 4 * len(want)
+
+
+def test_streamed_days_equal_the_batch(spark):
+    """All days of the table, the newest two included."""
+    rows = {r.snapshot_date: r for r in q.stream_context(spark, SF).collect()}
+    last = tt.table(spark, SF, "events").where("user_id % 50 <> 7").groupBy(
+        F.col("ts").cast("date").alias("day"), "user_id").agg(F.max_by("event_type", "ts").alias("kind"))
+    want = {str(r.day): r for r in last.groupBy("day").agg(
+        F.count("*").alias("n"), F.count_if(F.col("kind") == "purchase").alias("movers")).collect()}
+    assert {d: (r.companies, r.positive_movers) for d, r in rows.items()} == {d: (r.n, r.movers) for d, r in want.items()}
+
+
+def _land_days(spark, folder, picks, quotes, days):
+    for day in days:
+        for p in [p for p in picks if p["report_date"] == day]:
+            item = dict(rank=1, company=dict(ticker=p["ticker"], country="SE", name="N"), score=dict(total=1.0),
+                        financials=dict(price=p["entry_price"], currency="SEK"))
+            place = folder / "reports" / f"report_date={day}"
+            place.mkdir(parents=True, exist_ok=True)
+            (place / f"{p['ticker']}.json").write_text(json.dumps(dict(metadata=dict(strategy="trading"), items=[item])))
+    rows = [x for x in quotes if x[0] in days]
+    if rows:
+        spark.createDataFrame(rows, DAILY).coalesce(1).write.mode("append").parquet(str(folder / "quotes"))
+
+
+DAILY = "quote_date date, ticker string, country string, price double, currency string"
+
+
+def test_stream_settles_like_the_history(spark, picks_frame, tmp_path):
+    """Batches of several days, a day without run, a replayed batch: the same outcomes as over the whole history."""
+    first = dt.date(2026, 5, 11)
+    days = [first + dt.timedelta(n) for n in range(12)]
+    picks = [dict(report_date=d, ticker=f"T{n % 3}", entry_price=2.0 + n, entry_currency="SEK") for n, d in enumerate(days) if d.weekday() < 5]
+    run_days = [d for d in days if d.weekday() < 5 and d != days[3]]
+    quotes = [(d, f"T{i}", "SE", 3.0 + i + d.day / 7, "SEK" if (d.day + i) % 5 else "EUR") for d in run_days for i in range(3)]
+    more = {n: F.lit(None).cast("string") for n in ("name", "segment", "sector")} | {
+        n: F.array().cast("array<string>") for n in ("catalysts", "risks")}
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+
+    def run(progress="p"):
+        stream = spark.readStream.schema(DAILY).parquet(str(tmp_path / "quotes")).withColumns(more)
+        stream_ledger_update(report_stream(spark, str(tmp_path / "reports")), ledger, str(tmp_path / progress),
+                             quotes=stream).awaitTermination()
+
+    for part in (days[:4], days[4:5], days[5:]):
+        _land_days(spark, tmp_path, picks, quotes, part)
+        run()
+    assert len(ledger.versions()) == 3
+    frame = spark.createDataFrame(quotes, DAILY).withColumns(more)
+    once = oc.evaluate_history(
+        picks_frame(*picks), frame, oc.market_snapshot(frame.withColumnRenamed("quote_date", "snapshot_date")),
+        spark.createDataFrame([(d,) for d in run_days], "run_date date"))
+    names = ["pick_id", "horizon", "status", "price", "return_pct", "benchmark_return_pct", "excess_return_pct"]
+    key = lambda rows: sorted((tuple(r) for r in rows), key=repr)
+    want = key(once.select(*names).collect())
+    assert key(ledger.table("outcomes").select(*names).collect()) == want
+    assert {r.status for r in ledger.table("outcomes").collect()} == {"priced", "missing_price", "missed_window", "not_due"}
+    # The state of the scorecard adds up to the scorecard of all outcomes.
+    assert sorted(map(tuple, scorecard_of(ledger.table("tallies")).collect()), key=repr) == sorted(
+        map(tuple, horizon_scorecard(ledger.outcomes_with_picks()).collect()), key=repr)
+    # A batch that the manifest holds already is skipped, whatever it brings.
+    held = ledger.manifest()
+    (name, number), = held.applied.items()
+    assert not ledger.update_days(picks_frame(dict(report_date=first, ticker="NEW")), None, applied=(name, number))
+    assert ledger.manifest() == held
+
+
+def test_failed_run_leaves_the_old_state_whole(spark, picks_frame, tmp_path, monkeypatch):
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    day = dt.date(2026, 5, 11)
+    schema = "ticker string, country string, price double, currency string, name string, segment string, sector string, catalysts array<string>, risks array<string>"
+    quotes = spark.createDataFrame([("STABL", "SE", 1.0, "SEK", "A", "m", "s", [], [])], schema)
+    ledger.update(picks_frame(dict(report_date=day)), quotes, day)
+
+    def state(version=None):
+        return {n: sorted(map(repr, df.collect())) for n, df in read_ledger(spark, ledger.path, version).items()}
+
+    before, next_day = state(), day + dt.timedelta(1)
+    for step in ("_settle", "_publish"):
+        with monkeypatch.context() as broken:
+            broken.setattr(Ledger, step, lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+            with pytest.raises(RuntimeError, match="lost"):
+                ledger.update(picks_frame(dict(report_date=next_day, ticker="NEW")), quotes, next_day)
+        assert state() == before and ledger.versions() == [1]
+    ledger.update(picks_frame(dict(report_date=next_day, ticker="NEW")), quotes, next_day)
+    after = state()
+    assert len(after["picks"]) == 2 and len(after["snapshots"]) == 2 and any("priced" in r for r in after["outcomes"])
+    # A reader that is pinned to the first version still reads it; writing through it is refused.
+    assert state(1) == before
+    with pytest.raises(ValueError, match="read only"):
+        Ledger(spark, ledger.path, 1).add_picks(picks_frame(dict(report_date=day)))
+    # Two runs from one state: the second cannot publish.
+    draft, _ = ledger._begin()
+    ledger.record_snapshot(quotes, next_day)
+    with pytest.raises(ConcurrentRun):
+        ledger._publish(draft)
+    # Files without a manifest go; the newest state stays.
+    newest = state()
+    ledger.forget(keep=1)
+    assert ledger.versions() == [3] and state() == newest
+    runs = {r for days in ledger.manifest().tables["picks"].values() for r in days}
+    assert {p.name for p in (tmp_path / "ledger" / "data" / "picks").iterdir() if p.is_dir()} == {f"run={r}" for r in runs}
+
+
+def test_first_layout_is_taken_over(spark, picks_frame, tmp_path):
+    path, day = str(tmp_path / "ledger"), dt.date(2026, 5, 11)
+    picks = picks_frame(dict(report_date=day), dict(report_date=day, ticker="B"))
+    picks.withColumn("schema_version", F.lit(1)).write.partitionBy("report_date").parquet(f"{path}/picks")
+    oc.open_outcomes(picks).withColumn("schema_version", F.lit(1)).write.partitionBy("due_date").parquet(f"{path}/outcomes")
+    ledger = Ledger(spark, path)
+    assert ledger.table("picks").count() == 2 and ledger.table("outcomes").count() == 8
+    ledger.add_picks(picks_frame(dict(report_date=day, ticker="C")))
+    assert ledger.table("picks").count() == 3 and ledger.table("outcomes").count() == 12
