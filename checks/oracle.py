@@ -653,7 +653,13 @@ select 'finnhub fundamentals', attempted, parsed, case when parsed = attempted t
 from (select sum(case when contains(ticker, ' ') then 2 else 1 end)::bigint as attempted,
   count(*) filter ({k} % 4 <> 1) as parsed from listing)
 union all
-select 'nasdaq nordic live data', count(*), count(*), 'ok', count(*) || ' companies parsed from file:customer' from listing""")
+select 'finimpulse fundamentals', attempted, parsed, case when parsed = attempted then 'ok' else 'warning' end,
+  parsed || '/' || attempted || ' Finimpulse lookups parsed'
+from (select sum(case when contains(ticker, ' ') then 2 else 1 end)::bigint as attempted,
+  count(*) filter ({k} % 4 <> 1) as parsed from listing)
+union all
+select 'nasdaq nordic live data', n + 1, n, 'warning', n || ' companies parsed from file:customer, 1 files unreadable'
+from (select count(distinct (case when c_custkey % 13 = 5 then c_custkey - 2 else c_custkey end, country)) as n from listing)""")
 
 
 USERS = """
@@ -885,7 +891,8 @@ select name, ticker, country, exchange, segment, sector, listing_currency, price
     row_number() over (partition by 'C' || case when c_custkey % 13 = 5 then c_custkey - 2 else c_custkey end, l.country
       order by c_custkey // 500, l.segment, c_custkey) as copy
   from listing l left join quote q using (c_custkey)) where copy = 1""")
-    add("csv_listing_scan", "with" + LISTING + """
+    for name in ("csv_listing_scan", "csv_mixed_headers"):
+        add(name, "with" + LISTING + """
 select name, ticker, country, case when c_custkey % 3 = 0 then exchange else 'Nasdaq Nordic' end as exchange, segment, sector, listing_currency
 from listing where c_custkey % 10 <> 3""")
     add("latest_listing", "with" + LISTING + """

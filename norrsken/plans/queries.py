@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from norrsken import constants as K
 from norrsken.functions import text as T
@@ -29,7 +29,7 @@ from norrsken.plans.watchlist import (
     with_report_columns,
 )
 from norrsken.schemas import METRIC_COLUMNS, REPORT
-from norrsken.session import shared_folder
+from norrsken.session import checkpointed, shared_folder
 from norrsken.sources import fundamentals as fu
 from norrsken.sources import listings as ls
 from norrsken.sources import reports as rp
@@ -238,11 +238,22 @@ def fundamentals_merge(spark, sf):
     )
 
 
+def _landed_screener(spark, sf):
+    """The listing as landed screener files, one envelope each, and a broken one among them."""
+    folder = f"{shared_folder(spark, 'screener')}/files"
+    tt.screener_payloads(spark, sf).write.partitionBy("load_order").text(folder)
+    broken = spark.createDataFrame([("{ broken",)], "payload string")
+    broken.write.text(f"{folder}/load_order=~broken")
+    return folder
+
+
 def source_coverage(spark, sf):
+    """Three lookup sources, and the listing scan counted while its files are read."""
     companies = tt.listing(spark, sf).select("ticker", "country")
     sources = {
         "yahoo": fu.parse_quote_summary(tt.quote_summary_payloads(spark, sf)),
         "finnhub": fu.parse_profile_metrics(tt.profile_metrics_payloads(spark, sf)),
+        "finimpulse": fu.parse_search(tt.search_payloads(spark, sf)),
     }
     rows = None
     for name, parsed in sources.items():
@@ -250,7 +261,11 @@ def source_coverage(spark, sf):
             "detail", en.coverage_detail(fu.SOURCE_LABELS[name])
         )
         rows = one if rows is None else rows.unionByName(one)
-    scan = ls.listing_status(ls.valid_listings(tt.listing(spark, sf)), "file:customer")
+    seen = Observation("screener")
+    scanned = ls.observed_scan(ls.read_screener(spark, _landed_screener(spark, sf)), seen)
+    # The listing is written once, as a run does; the counts of its files come with it.
+    parsed = checkpointed(ls.screener_listings(scanned, "file")).count()
+    scan = ls.observed_status(spark, parsed, seen.get["broken"], "file:customer")
     return rows.unionByName(scan).select(
         "source", c("attempted").cast("long").alias("attempted"),
         c("parsed").cast("long").alias("parsed"), "status", "detail",
@@ -419,6 +434,19 @@ def csv_listing_scan(spark, sf):
     )
 
 
+def csv_mixed_headers(spark, sf):
+    """Files with their columns in two orders, and one synonym apart, in one folder."""
+    folder = f"{shared_folder(spark, 'csv')}/files"
+    rows = tt.csv_rows(spark, sf)
+    odd = F.pmod(F.xxhash64(*rows.columns), F.lit(2)) == 1
+    turned = [F.col(f"`{n}`").alias("Company" if n == "Name" else n) for n in reversed(rows.columns)]
+    for part in (rows.where(~odd), rows.where(odd).select(*turned)):
+        part.write.mode("append").option("header", True).csv(folder)
+    return ls.read_listing_csv(spark, folder).select(
+        "name", "ticker", "country", "exchange", "segment", "sector", "listing_currency"
+    )
+
+
 def latest_listing(spark, sf):
     """Segments read one after the other; a symbol seen in an earlier segment is not taken again."""
     base = tt.listing(spark, sf)
@@ -610,6 +638,7 @@ QUERIES: dict[str, Query] = {
     "public_wording": public_wording,
     "json_listing_scan": json_listing_scan,
     "csv_listing_scan": csv_listing_scan,
+    "csv_mixed_headers": csv_mixed_headers,
     "latest_listing": latest_listing,
     "report_scan": report_scan,
     "stream_ledger_update": stream_ledger,

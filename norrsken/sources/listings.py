@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from norrsken import constants as K
@@ -124,25 +123,57 @@ def first_listing(listing: DataFrame, load_order: list[str]) -> DataFrame:
     return firsts.where("copy = 1").drop("copy")
 
 
+#: Columns of a CSV file that are read. A wider line ends the scan with an error.
+CSV_WIDTH = 64
+_CSV_FIELDS = ", ".join(f"c{i} string" for i in range(CSV_WIDTH + 1))
+
+
+def csv_files(spark: SparkSession, path: str) -> DataFrame:
+    """One row per line of the listing files: the names of its file's header (trimmed, lower case) and its fields.
+
+    A file is one row of the scan, so its header reaches its lines in the task that reads it. Listing
+    files hold one market on one day. ``line`` is 0 for the header itself.
+    """
+    lines = F.split("value", "\r\n|\n|\r")
+    opened = spark.read.text(path, wholetext=True).select(
+        F.get(lines, F.lit(0)).alias("header"), F.posexplode(lines).alias("line", "text"))
+    header = _parsed(opened.where((F.col("line") == 0) | (strip(F.col("text")) != "")), "header", "names")
+    named = header.withColumn("names", F.transform("names", lambda n: F.lower(strip(n))))
+    return _parsed(named, "text", "fields")
+
+
+def _parsed(df: DataFrame, line: str, name: str) -> DataFrame:
+    """``line`` replaced by the array of its CSV fields. The generators keep the parse from being repeated for each use."""
+    others = [n for n in df.columns if n != line]
+    parsed = df.select(*others, F.explode(F.array(F.from_csv(line, _CSV_FIELDS, {"escape": '"'}))).alias("_r"))
+    wide = F.col(f"_r.c{CSV_WIDTH}").isNotNull()
+    fields = F.array(*(F.col(f"_r.c{i}") for i in range(CSV_WIDTH)))
+    checked = F.when(wide, F.raise_error(F.lit(f"more than {CSV_WIDTH} columns"))).otherwise(fields)
+    return parsed.select(*others, F.explode(F.array(checked)).alias(name))
+
+
+def _misses_required(names: Column) -> Column:
+    def any_of(*wanted: str) -> Column:
+        return F.arrays_overlap(names, F.array(*(F.lit(w) for w in wanted)))
+
+    complete = any_of("ticker", "symbol") & any_of("name", "company") & any_of("country")
+    return ~F.coalesce(complete, F.lit(False))
+
+
 def read_listing_csv(spark: SparkSession, path: str) -> DataFrame:
     """Listing CSV with header synonyms. No quotes and no dedupe on this path.
 
-    Files may have their columns in different orders: every file is read by its own header, so the
-    files of one header are read together. The headers are one short line of each file.
+    Files may have their columns in different orders, and some that others lack. One scan reads them all;
+    each line's fields are looked up by its own file's header.
     """
-    first = (
-        spark.read.text(path)
-        .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
-        .where("at = 0").groupBy("file").agg(F.first("value").alias("header"))
-    )
-    files: dict[str, list[str]] = {}
-    for row in first.orderBy("file").collect():
-        files.setdefault(row["header"], []).append(row["file"])
-    read = spark.read.option("header", True).option("inferSchema", False)
-    parts = [csv_listings(read.csv(paths)) for paths in files.values()]
-    if not parts:
-        return csv_listings(read.csv(path))
-    return reduce(DataFrame.unionByName, parts)
+    lines = csv_files(spark, path)
+    # One row at most comes back: whether some file lacks a required column.
+    if lines.where((F.col("line") == 0) & _misses_required(F.col("names"))).select("line").first():
+        raise ValueError("live payload is missing required listing columns")
+    fields = lines.where("line > 0")
+    known = ("name", "company", "ticker", "symbol", "country", "exchange", "segment", "market", "sector", "currency")
+    found = {n: F.get("fields", F.array_position("names", F.lit(n)).cast("int") - 1).alias(n) for n in known}
+    return csv_listings(fields.select(*found.values()))
 
 
 def csv_listings(raw: DataFrame) -> DataFrame:
@@ -218,12 +249,16 @@ def listing_status(parsed: DataFrame, source_url: str, scanned: DataFrame | None
     ``scanned`` holds the rows of ``read_screener``; its broken files count as attempted, and make the
     status a warning.
     """
-    n, broken = F.col("parsed"), F.col("broken")
     counted = parsed.agg(F.count("*").alias("parsed"))
     if scanned is None:
         counted = counted.withColumn("broken", F.lit(0).cast("long"))
     else:
         counted = counted.withColumn("broken", scanned.agg(F.count("corrupt")).scalar())
+    return _status(counted, source_url)
+
+
+def _status(counted: DataFrame, source_url: str) -> DataFrame:
+    n, broken = F.col("parsed"), F.col("broken")
     files = F.when(broken > 0, F.concat(F.lit(", "), broken.cast("string"), F.lit(" files unreadable"))).otherwise("")
     return counted.select(
         F.lit(LISTING_CHECK_NAME).alias("source"),
@@ -234,3 +269,24 @@ def listing_status(parsed: DataFrame, source_url: str, scanned: DataFrame | None
         .otherwise("live payload contained no SE/FI listings")
         .alias("detail"),
     )
+
+
+def observed_scan(rows: DataFrame, name: str | Observation) -> DataFrame:
+    """The rows of a scan with a ``corrupt`` column, counted as they pass: ``rows``, and ``broken`` among them.
+
+    In a batch pass an ``Observation``: its counts are there after the first action over the rows. In a stream
+    pass a name: every batch reports its counts under it (``observed_counts``).
+    """
+    return rows.observe(name, F.count(F.lit(1)).alias("rows"), F.count("corrupt").alias("broken"))
+
+
+def observed_counts(query: StreamingQuery, name: str) -> dict[str, int]:
+    """Counts of ``observed_scan`` over a stream's recent batches."""
+    found = [p["observedMetrics"][name] for p in query.recentProgress if name in (p["observedMetrics"] or {})]
+    return {n: sum(f[n] for f in found) for n in ("rows", "broken")}
+
+
+def observed_status(spark: SparkSession, parsed: int, broken: int, source_url: str) -> DataFrame:
+    """``listing_status`` out of counts taken while the listing was read, without reading anything again."""
+    counts = spark.range(1).select(F.lit(parsed).cast("long").alias("parsed"), F.lit(broken).cast("long").alias("broken"))
+    return _status(counts, source_url)

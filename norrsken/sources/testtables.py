@@ -174,11 +174,13 @@ def research(spark: SparkSession, sf_dir: str, known_metrics: bool = True) -> Da
 
 
 def _payload_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request per listing with payload. The compact symbol answers, not the hyphenated one."""
+    """One request per listing. The compact symbol answers, not the hyphenated one.
+
+    Every fourth company is unknown to the sources: its payloads are empty.
+    """
     suffix = F.when(F.col("country") == "SE", ".ST").otherwise(".HE")
     return (
         listing(spark, sf_dir)
-        .where("c_custkey % 4 <> 1")
         .select(
             "c_custkey", "c_acctbal", "ticker", "country",
             F.col("listing_currency").alias("fallback_currency"),
@@ -187,6 +189,10 @@ def _payload_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _known(payload: Column, empty: str) -> Column:
+    return F.when(F.col("c_custkey") % 4 == 1, empty).otherwise(payload)
+
+
 def _next(divisor: int, value: Column) -> Column:
     """Payload values are shifted by one key against the base metrics."""
     return F.when((F.col("c_custkey") + 1) % divisor != 0, value)
@@ -219,7 +225,8 @@ def quote_summary_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("financialData"),
     )
     full = F.to_json(F.struct(F.struct(F.array(result).alias("result")).alias("quoteSummary")))
-    payload = F.when(key % 29 == 0, '{"quoteSummary": {"result": []}}').otherwise(full)
+    empty = '{"quoteSummary": {"result": []}}'
+    payload = _known(F.when(key % 29 == 0, empty).otherwise(full), empty)
     return _payload_base(spark, sf_dir).withColumn("payload", payload)
 
 
@@ -242,7 +249,7 @@ def profile_metrics_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
             ).alias("metric")
         ).alias("metrics"),
     )
-    return _payload_base(spark, sf_dir).withColumn("payload", F.to_json(doc))
+    return _payload_base(spark, sf_dir).withColumn("payload", _known(F.to_json(doc), "{}"))
 
 
 def search_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,7 +276,8 @@ def search_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         item(F.lower("symbol"), c("c_acctbal") * 100000.0),
     )
     doc = F.struct(F.struct(items.alias("items")).alias("result"))
-    return _payload_base(spark, sf_dir).withColumn("payload", F.to_json(doc))
+    payload = _known(F.to_json(doc), '{"result": {"items": []}}')
+    return _payload_base(spark, sf_dir).withColumn("payload", payload)
 
 
 def profile_text_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,7 +292,8 @@ def profile_text_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )
     doc = F.struct(F.struct(F.array(item).alias("items")).alias("result"))
-    return _payload_base(spark, sf_dir).withColumn("payload", F.to_json(doc))
+    payload = _known(F.to_json(doc), '{"result": {"items": []}}')
+    return _payload_base(spark, sf_dir).withColumn("payload", payload)
 
 
 # Screener envelopes and listing CSV ------------------------------------------------------------

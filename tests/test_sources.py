@@ -6,6 +6,7 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from norrsken.operators import calendar as cal
@@ -197,3 +198,38 @@ def test_market_names(spark):
     assert cal.market_names(["se", "FI"]) == ["helsinki", "stockholm"]
     with pytest.raises(ValueError, match="unsupported market 'oslo'"):
         cal.market_names(["oslo"])
+
+
+def test_many_csv_files_are_one_scan(spark, tmp_path):
+    for n in range(200):
+        rows = f"Firm {n} AB,T{n},SE\n" if n % 2 else f'se,"T{n}","Firm, {n} ""AB"""\n'
+        head = "name,ticker,country\n" if n % 2 else "country;,x\n".replace(";,x", ",SYMBOL,Company")
+        (tmp_path / f"{n}.csv").write_text(head + rows + "\n")
+    df = ls.read_listing_csv(spark, str(tmp_path))
+    rows = {r.ticker: r.name for r in df.collect()}
+    assert len(rows) == 200 and rows["T1"] == "Firm 1 AB" and rows["T2"] == 'Firm, 2 "AB"'
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_broken_files_are_counted_while_reading(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps(dict(source="nasdaq_nordic_screener", responses=[response([screener_row("A"), screener_row("B")])])))
+    (tmp_path / "b.json").write_text("{ broken")
+    seen = Observation("scan")
+    listing = ls.screener_listings(ls.observed_scan(ls.read_screener(spark, str(tmp_path)), seen), "file")
+    parsed = len(listing.collect())
+    assert (parsed, seen.get) == (2, {"rows": 3, "broken": 1})
+    row = ls.observed_status(spark, parsed, seen.get["broken"], "u").first()
+    assert (row.attempted, row.parsed, row.status, row.detail) == (3, 2, "warning", "2 companies parsed from u, 1 files unreadable")
+    assert ls.observed_status(spark, 0, 0, "u").first().status == "error"
+
+
+def test_a_stream_reports_its_broken_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(json.dumps({"metadata": {"strategy": "trading"}, "items": []}))
+    (tmp_path / "in" / "b.json").write_text("{ broken")
+    files = spark.readStream.schema("value string").text(str(tmp_path / "in"), wholetext=True)
+    reports = ls.observed_scan(rp.report_rows(files.withColumn("load_order", F.lit("x"))), "reports")
+    run = reports.writeStream.foreachBatch(lambda df, n: df.collect() and None).option(
+        "checkpointLocation", str(tmp_path / "p")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert ls.observed_counts(run, "reports") == {"rows": 2, "broken": 1}
