@@ -447,6 +447,8 @@ from placed, n2 where own <= case country when 'FI' then f else s end""")
     add("watchlist_all_strategies", RESEARCH + "," + scored_ctes() + ","
         + deduped(where=f"(strategy <> 'trading' or {SETUP})") + "," + quota(20, {"SE": 12}, by_tier)
         + " select strategy, ticker, country, total, rank from chosen")
+    add("watchlist_long_list", RESEARCH + "," + scored_ctes("research", ("balanced", "long-term")) + "," + deduped() + ","
+        + quota(1200, {"FI": 700}, by_tier) + " select strategy, ticker, country, total, rank from chosen")
     add("enrichment_budget", RESEARCH + "," + scored_ctes("research", ("balanced", "long-term", "trading")) + ","
         + deduped(where=f"(strategy <> 'trading' or {SETUP})") + "," + quota(20, {"FI": 12}, by_score)
         + " select strategy, ticker, country, total, rank from chosen where rank <= 12")

@@ -58,6 +58,12 @@ def text_keys(items: Column) -> Column:
     return F.transform(items, lambda x: F.lower(strip(x)))
 
 
+def may_repeat(items: Column) -> Column:
+    """False only where no two texts are equal without case and blanks. Compiled, unlike ``text_keys``."""
+    bare = F.split(F.translate(F.lower(F.array_join(items, _SEPARATOR)), _BLANKS, ""), _SEPARATOR)
+    return F.size(F.array_distinct(bare)) < F.size(bare)
+
+
 def distinct_texts(items: Column, keys: Column) -> Column:
     """The first item per key. Pass ``keys`` as a column, as it is read for every item."""
     return F.filter(items, lambda x, i: F.array_position(keys, keys[i]) == i + 1)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from norrsken import constants as K
 from norrsken.functions.numeric import compact_number, round_dp
 from norrsken.functions.rules import Rule, fired_texts, total_points
-from norrsken.functions.text import distinct_texts, has_signal, searchable, text_keys
+from norrsken.functions.text import distinct_texts, has_signal, may_repeat, searchable, text_keys
 from norrsken.operators import signals
 from norrsken.operators.quality import with_gate, with_quality
 from norrsken.schemas import SCORE_COLUMNS
@@ -262,12 +262,20 @@ def strategy_scores(research: DataFrame, strategies: str | Sequence[str] = K.STR
 
 
 def _with_distinct_texts(scored: DataFrame) -> DataFrame:
-    """Long-term texts without repeats. Comparison keys are columns, built once per row."""
+    """Long-term texts without repeats. Comparison keys are columns, built once per row.
+
+    Few rows have any. A test in generated code (no two texts alike without case and blanks) keeps all others
+    from the lambdas.
+    """
     own = F.col("strategy") == "long-term"
-    keyed = scored.withColumns({f"{n}_keys": text_keys(F.col(n)) for n in ("reasons", "warnings")})
+    both = ("reasons", "warnings")
+    none = F.lit(None).cast("array<string>")
+    keyed = scored.withColumns(
+        {f"{n}_keys": F.when(own & may_repeat(F.col(n)), text_keys(F.col(n))).otherwise(none) for n in both}
+    )
     return keyed.withColumns(
         {
-            n: F.when(own, distinct_texts(F.col(n), F.col(f"{n}_keys"))).otherwise(F.col(n))
-            for n in ("reasons", "warnings")
+            n: F.when(F.col(f"{n}_keys").isNotNull(), distinct_texts(F.col(n), F.col(f"{n}_keys"))).otherwise(F.col(n))
+            for n in both
         }
     ).drop("reasons_keys", "warnings_keys")

@@ -110,6 +110,12 @@ def all_watchlists(spark, sf):
     return ranked.select("strategy", "ticker", "country", "total", c("rank").cast("long").alias("rank"))
 
 
+def long_list(spark, sf):
+    """Lists beyond what Spark limits before a shuffle, with a quota."""
+    ranked = watchlist(tt.research(spark, sf), ["balanced", "long-term"], limit=1200, min_country_counts={"FI": 700})
+    return ranked.select("strategy", "ticker", "country", "total", c("rank").cast("long").alias("rank"))
+
+
 def watchlist_enriched(spark, sf):
     ranked = watchlist(
         tt.research(spark, sf, known_metrics=False),
@@ -604,6 +610,7 @@ QUERIES: dict[str, Query] = {
     "watchlist_country_quota": _list("balanced", min_country_counts=QUOTA),
     "watchlist_wide_quota": _list("long-term", limit=10, min_country_counts=WIDE_QUOTA),
     "watchlist_all_strategies": all_watchlists,
+    "watchlist_long_list": long_list,
     "watchlist_enriched": watchlist_enriched,
     "enrichment_budget": enrichment_budget,
     "dedupe_companies": dedupe_companies,

@@ -13,6 +13,7 @@ from norrsken.operators.ranking import (
     best_per_company,
     company_filter,
     normalise_quotas,
+    score_keys,
     score_order,
     select_top,
     tier_score_order,
@@ -50,6 +51,14 @@ def final_order(strategies: Sequence[str]) -> list:
     return [own.asc(), *rest]
 
 
+def final_keys(strategies: Sequence[str]) -> list:
+    """The coarse keys of ``final_order``."""
+    if "long-term" not in strategies:
+        return score_keys()
+    own = F.when(F.col("strategy") == "long-term", tier_order(F.col("gate.tier"))).otherwise(0)
+    return [own, *score_keys()]
+
+
 def watchlist(
     research: DataFrame,
     strategies: str | Sequence[str] = "balanced",
@@ -79,7 +88,7 @@ def watchlist(
     scored = scored_ideas(filtered, names)
     order = final_order(names)
     if fundamentals is None or not enrichment_budget or enrichment_budget < 1:
-        return select_top(best_per_company(scored, by), limit, min_country_counts, by, order)
+        return select_top(best_per_company(scored, by), limit, min_country_counts, by, order, final_keys(names))
     return _enriched(
         scored, names, limit, min_country_counts, fundamentals, enrichment_budget, by, order
     )

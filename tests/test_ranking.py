@@ -61,6 +61,27 @@ def test_quota_equals_one_by_one_swaps(spark, fits):
         assert [n for *_, n in got[case]] == list(range(1, len(want) + 1))
 
 
+def test_long_lists_equal_the_windows(spark):
+    """Beyond the session's limit for windows: many ties, null groups, a quota, no group in one task."""
+    rng = random.Random(7)
+    rows = [(rng.choice(["a", "b", None]), f"T{i % 600}", rng.choice(["SE", "SE", "FI", None]), rng.choice([1.0, 2.5, 2.51, 9.0]), i)
+            for i in range(2000)]
+    ideas = spark.createDataFrame(rows, "strategy string, ticker string, country string, total double, ordinal long")
+    for quotas in (None, {"FI": 90}):
+        want = sorted(map(str, select_top(ideas, 150, quotas).collect()))
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "20")
+        try:
+            long = select_top(ideas, 150, quotas)
+            plan = long._jdf.queryExecution().executedPlan().toString()
+            assert sorted(map(str, long.collect())) == want and len(want) == 450
+            # Windows see counted scores and parts only, never the rows.
+            assert "ticker" not in "".join(line for line in plan.splitlines() if "Window" in line)
+            with pytest.raises(ValueError, match="quotas that exceed"):
+                select_top(ideas, 30, {"FI": 20, "SE": 20})
+        finally:
+            spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+
+
 def test_quota_examples(research):
     rows = [dict(ticker=t, catalysts=["High live turnover"]) for t in ("SEA", "SEB", "SEC", "SED")]
     rows += [dict(ticker=t, country="FI") for t in ("FIA", "FIB", "FIC")]
