@@ -16,7 +16,9 @@ from __future__ import annotations
 import os
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,9 +41,11 @@ OPEN_BINS = 8192
 GROUP = 50_000
 BATCH_BYTES = 1 << 20
 #: Units whose ids a worker remembers (about 200 bytes each); beyond it the table starts anew.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 20
 #: Longer units are encoded each time instead of being remembered.
 LONGEST = 64
+#: Units encoded in one call of the library.
+RUN = 1024
 #: A space that begins a pre-token.
 BEGINS = re.compile(r" (?=\S)")
 
@@ -49,6 +53,14 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
 
+def _as_bytes(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    held = array("I", ids)
+    if sys.byteorder == "big":
+        held.byteswap()
+    return held.tobytes()
+
+
 class Ids:
     """Ids of texts by the library, which sees each distinct unit of a worker's batches once.
 
@@ -65,14 +77,32 @@ class Ids:
         self.special = {t.content: struct.pack("<I", k) for k, t in self.library.get_added_tokens_decoder().items()}
         self.cut = regex.compile(f"({bpe.any_of(list(self.special)).pattern})") if self.special else None
         self.known: dict[str, bytes] = {}
+        # Whether an id's token begins with a space; GPT-style byte alphabets write it as this letter.
+        self.spaced = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
+        for token, k in self.library.get_vocab(with_added_tokens=False).items():
+            self.spaced[k] = token.startswith("\u0120")
 
     def _parts(self, text: str) -> list[str]:
         """The stretches between special strings at even places, the strings themselves at odd ones."""
         return self.cut.split(text) if any(s in text for s in self.special) else [text]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        found = (e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False))
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
+        return [_as_bytes(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _unit_ids(self, units: list[str]) -> list[bytes]:
+        """Ids of units, many to a text of their own: the ids of one begin where a token has its space."""
+        runs = [units[i:i + RUN] for i in range(0, len(units), RUN)]
+        found = self.library.encode_batch_fast([f" {' '.join(run)}" for run in runs], add_special_tokens=False)
+        out: list[bytes] = []
+        for run, encoded in zip(runs, found):
+            ids = np.array(encoded.ids, "<u4")
+            edges = np.append(np.flatnonzero(self.spaced[ids]), len(ids)) * 4
+            if len(edges) == len(run) + 1:
+                raw, at = ids.tobytes(), edges.tolist()
+                out += [raw[a:b] for a, b in zip(at, at[1:])]
+            else:  # a vocabulary that writes spaces otherwise
+                out += self._ids([f" {u}" for u in run])
+        return out
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         """Ids of texts without special strings."""
@@ -84,7 +114,8 @@ class Ids:
                 if not odd.isdisjoint(units[i]):
                     heads[i], *units[i] = BEGINS.split(t)
             fresh = set().union(*units).difference(self.known)
-        self.known.update(zip(fresh, self._ids([f" {u}" for u in fresh])))
+        fresh = list(fresh)
+        self.known.update(zip(fresh, self._unit_ids(fresh)))
         known = self.known.__getitem__
         ids = [head + b"".join(map(known, u)) for head, u in zip(self._ids(heads), units)]
         for u in fresh:
