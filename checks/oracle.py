@@ -745,7 +745,7 @@ where strategy = 'long-term' or o.pick_id is not null""")
     mean = lambda x: rd(f"sum(round({x} * 100e0)::hugeint)::double / 100e0 / nullif(count({x}), 0)", 2)
     share = lambda t, n: rd(f"count(*) filter ({t}) / nullif({n}, 0)::double * 100e0", 1)
     middle = "list_sort(list(return_pct))"
-    add("horizon_scorecard", outcome + f""",
+    stats = f""",
 done as (select * from outcomes where status = 'priced' and return_pct is not null),
 stats as (
   select strategy, horizon, count(*) as completed, {share('return_pct > 0', 'count(*)')} as hit_rate_pct,
@@ -755,12 +755,14 @@ stats as (
     count(*) filter (return_pct <= -10) as large_loser_count, {rd('stddev_pop(return_pct)', 2)} as volatility_pct,
     {mean('benchmark_return_pct')} as average_benchmark_return_pct, {mean('excess_return_pct')} as average_excess_return_pct,
     {share('excess_return_pct > 0', 'count(excess_return_pct)')} as excess_hit_rate_pct
-  from done group by strategy, horizon)
+  from done group by strategy, horizon),
+horizons as (
 select s.strategy, h.horizon, h.n::bigint as horizon_days, coalesce(completed, 0) as completed, hit_rate_pct, average_return_pct,
   median_return_pct, worst_return_pct, loss_rate_pct, coalesce(large_loser_count, 0) as large_loser_count, volatility_pct,
   average_benchmark_return_pct, average_excess_return_pct, excess_hit_rate_pct
 from (values ('trading'), ('long-term')) s(strategy) cross join (values ('1d', 1), ('5d', 5), ('20d', 20), ('60d', 60)) h(horizon, n)
-left join stats t on t.strategy = s.strategy and t.horizon = h.horizon""")
+left join stats t on t.strategy = s.strategy and t.horizon = h.horizon)"""
+    add("horizon_scorecard", outcome + stats + " select * from horizons")
 
     long_term = "strategy = 'long-term'"
     bucket = "case when user_id % 9 <> 0 then case when user_id % 2 = 0 then 'Quality small-cap candidate' else 'Speculative small-cap monitor' end end"
@@ -783,7 +785,7 @@ left join stats t on t.strategy = s.strategy and t.horizon = h.horizon""")
         when(f"{long_term} and user_id % 7 = 0", "'proof_gap:thin liquidity'"),
         when(f"{long_term} and user_id % 6 = 5", "'proof_gap:no growth signal'"),
     )
-    attribution = outcome + f""",
+    attributed = f""",
 rated as (select pick_id, any_value(strategy) as strategy, any_value(user_id) as user_id, any_value(country) as country,
     any_value(segment) as segment, arg_max(return_pct, n) as r
   from outcomes where status = 'priced' and return_pct is not null group by pick_id),
@@ -794,6 +796,7 @@ attributed as (
   select scope, signal, count(*) as observations, {mean('r')} as average_return_pct, {share('r > 0', 'count(*)')} as hit_rate_pct
   from exploded group by scope, signal),
 placed as (select *, row_number() over (partition by scope order by observations desc, signal) as place from attributed)"""
+    attribution = outcome + attributed
     add("signal_attribution", attribution + " select scope, signal, observations, average_return_pct, hit_rate_pct from attributed")
     label = """(case split_part(signal, ':', 1) when 'bucket' then 'Bucket: ' when 'country' then 'Country: ' when 'gate' then 'Gate: '
   when 'gate_durable_anchors' then 'Gate durable anchors: ' when 'gate_severe_proof_gaps' then 'Gate severe proof gaps: '
@@ -831,6 +834,29 @@ from (values ('all'), ('trading'), ('long-term')) s(scope) left join (select * f
   from snaps group by d))"""
     add("daily_market_context", context + " select * from context")
     add("market_context", context + " select * from context where snapshot_date = (select max(d)::varchar from snaps)")
+    def figures(frame: str, source: str, keys: str, names: str) -> str:
+        cells = ", ".join(f"{{figure: '{n}', value: {n}::double}}" for n in names.split())
+        return f"select '{frame}' as frame, {keys} as item, unnest([{cells}], recursive := true) from {source}"
+
+    add("ledger_summary", "with" + RUN_OUTCOME + stats + attributed + "," + ranked("desc", "best") + "," + ranked("asc", "worst") + f""",
+worst_only as (select w.* from worst w where not exists (select 1 from best b where b.scope = w.scope and b.k = w.k)),
+lists as (select 'best' as list, * from best union all select 'worst', * from worst_only),
+seen as (select * from snaps where day(d) <> 17),
+context as (select *, {tone} from (select d::varchar as snapshot_date, count(*) as companies, count(*) filter (mover) as positive_movers,
+  count(*) filter (selloff) as selloffs, count(*) filter (active) as active_turnover from seen where d = (select max(d) from seen) group by d)),
+tiered as (select d::varchar as d, {tier} as tier, count(*) as n from picks where {long_term} group by all),
+tiers as (select days.d, t.tier, coalesce(n, 0) as companies from (select distinct d from tiered) days
+  cross join (select unnest(['High-conviction candidate', 'Fundamental watchlist', 'Speculative monitor', 'Insufficient evidence']) as tier) t
+  left join tiered x on x.d = days.d and x.tier = t.tier)
+""" + " union all ".join([
+        figures("horizons", "horizons", "strategy || '|' || horizon", "completed hit_rate_pct average_return_pct median_return_pct worst_return_pct "
+                "loss_rate_pct large_loser_count volatility_pct average_benchmark_return_pct average_excess_return_pct excess_hit_rate_pct"),
+        figures("signals", "attributed", "scope || '|' || signal", "observations average_return_pct hit_rate_pct"),
+        figures("context", "context", "snapshot_date || '|' || tone", "companies positive_movers selloffs active_turnover"),
+        figures("tiers", "tiers", "d || '|' || tier", "companies"),
+        figures("ranked", "lists", "list || '|' || scope || '|' || pick_id || '|' || horizon", "rank return_pct"),
+        figures("latest", "(select pick_id, r as latest_return_pct from rated)", "pick_id", "latest_return_pct"),
+    ]))
     add("stream_ledger_update", users + " select pick_id, entry_price, entry_currency, score_total, 4::bigint as open_outcomes from picks")
     add("stream_market_context", f"""
 with last as (select arg_max(event_type, ts) as kind, cast(ts as date) as d from events where user_id % 50 <> 7 group by user_id, cast(ts as date))

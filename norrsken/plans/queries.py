@@ -22,6 +22,8 @@ from norrsken.operators import scoring as so
 from norrsken.operators import signals as sg
 from norrsken.operators.conviction import COMPONENTS, with_components
 from norrsken.plans.profile import company_profiles
+from norrsken.plans.summary import ledger_summary as summary_frames
+from norrsken.plans.summary import write_summary
 from norrsken.plans.watchlist import (
     enrichment_candidates,
     scored_ideas,
@@ -573,6 +575,31 @@ def ledger_daily_update(spark, sf):
     return _outcome_rows(_run_ledger(spark, sf))
 
 
+def ledger_summary(spark, sf):
+    """The six frames of the summary, written and read again, as (frame, item, figure)."""
+    ledger = _run_ledger(spark, sf)
+    folder = shared_folder(spark, "summary")
+    write_summary(summary_frames(ledger), folder)
+    held = {n: spark.read.parquet(f"{folder}/{n}") for n in ("horizons", "signals", "context", "tiers", "ranked", "latest")}
+    shape = {
+        "horizons": (["strategy", "horizon"], [
+            "completed", "hit_rate_pct", "average_return_pct", "median_return_pct", "worst_return_pct", "loss_rate_pct",
+            "large_loser_count", "volatility_pct", "average_benchmark_return_pct", "average_excess_return_pct", "excess_hit_rate_pct"]),
+        "signals": (["scope", "signal"], ["observations", "average_return_pct", "hit_rate_pct"]),
+        "context": (["snapshot_date", "tone"], ["companies", "positive_movers", "selloffs", "active_turnover"]),
+        "tiers": (["report_date", "tier"], ["companies"]),
+        "ranked": (["list", "scope", "pick_id", "horizon"], ["rank", "return_pct"]),
+        "latest": (["pick_id"], ["latest_return_pct"]),
+    }
+    rows = None
+    for name, (keys, figures) in shape.items():
+        item = F.concat_ws("|", *(c(k).cast("string") for k in keys))
+        opened = F.inline(F.array(*(F.struct(F.lit(n).alias("figure"), c(n).cast("double").alias("value")) for n in figures)))
+        one = held[name].select(F.lit(name).alias("frame"), item.alias("item"), opened)
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
 def stream_context(spark, sf):
     folder = shared_folder(spark, "context-stream")
     schema = tt.table(spark, sf, "events").schema
@@ -651,5 +678,6 @@ QUERIES: dict[str, Query] = {
     "stream_ledger_update": stream_ledger,
     "stream_settlement": stream_settlement,
     "ledger_daily_update": ledger_daily_update,
+    "ledger_summary": ledger_summary,
     "stream_market_context": stream_context,
 }

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from norrsken.operators import outcomes as oc
 from norrsken.operators.scorecard import daily_market_context, horizon_scorecard, scorecard_of
 from norrsken.plans import queries as q
+from norrsken.plans.summary import ledger_summary, write_summary
 from norrsken.sources import testtables as tt
 from norrsken.sources.ledger import ConcurrentRun, Ledger, read_ledger
 from norrsken.streaming.ledger_updates import report_stream, stream_ledger_update
@@ -208,3 +209,18 @@ def test_first_layout_is_taken_over(spark, picks_frame, tmp_path):
     assert ledger.table("picks").count() == 2 and ledger.table("outcomes").count() == 8
     ledger.add_picks(picks_frame(dict(report_date=day, ticker="C")))
     assert ledger.table("picks").count() == 3 and ledger.table("outcomes").count() == 12
+
+
+def test_summary_frames_are_written(spark, picks_frame, tmp_path):
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    day = dt.date(2026, 5, 11)
+    schema = "ticker string, country string, price double, currency string, name string, segment string, sector string, catalysts array<string>, risks array<string>"
+    for n, price in enumerate((1.0, 1.2)):
+        quotes = spark.createDataFrame([("STABL", "SE", price, "SEK", "A", "m", "s", [], [])], schema)
+        ledger.update(picks_frame(dict(report_date=day, entry_price=1.0)), quotes, day + dt.timedelta(n))
+    write_summary(ledger_summary(ledger), str(tmp_path / "out"), "json")
+    read = {n: spark.read.json(str(tmp_path / "out" / n)) for n in ("horizons", "signals", "context", "ranked", "latest")}
+    one = read["horizons"].where("strategy = 'trading' and horizon = '1d'").first()
+    assert (one.completed, one.average_return_pct, one.hit_rate_pct) == (1, 20.0, 100.0)
+    assert read["horizons"].count() == 8 and read["latest"].first().latest_return_pct == 20.0
+    assert read["context"].first().companies == 1 and {r.list for r in read["ranked"].collect()} == {"best"}
