@@ -181,7 +181,8 @@ class Signatures:
         own = bands[0]
         for band in bands:
             low, high, m, reserve = band
-            salt = np.uint64(low) * np.uint64(0x9E3779B97F4A7C15)
+            with np.errstate(over="ignore"):
+                salt = np.uint64(low) * np.uint64(0x9E3779B97F4A7C15)
             # Segments have equal width on the upper half of the hashes, so sorted hashes come in order.
             seg = (((s >> _U32) * np.uint64(m)) >> _U32).astype(np.int64)
             counts = np.bincount(seg, minlength=m)
@@ -438,6 +439,22 @@ def _open_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
     return placed.join(mains.select("group", "main"), "group")
 
 
+#: Bits of the table that says which rows' sets are wanted: 8 MB, whatever the number of rows.
+WANTED_BITS = 1 << 26
+
+
+def _wanted_rows(keys: DataFrame) -> bytes:
+    """One bit for each hash of a key, as a table of fixed size."""
+    number = F.pmod(F.xxhash64("key"), F.lit(WANTED_BITS)) + 1
+    rows = keys.select(number.alias("number")).groupBy(F.bitmap_bucket_number("number").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
+    bits = bytearray(WANTED_BITS // 8)
+    for row in rows.collect():
+        start = (row["bucket"] - 1) * 4096
+        bits[start:start + 4096] = row["bits"]
+    return bytes(bits)
+
+
 _ROW_KEY = "key struct<no_id:boolean,id:long,text:long>"
 
 
@@ -463,7 +480,10 @@ def near_links(df: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[D
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Signatures()
-        for batch in slices(batches, "text", BATCH_BYTES):
+        table = np.frombuffer(bits, np.uint8)
+        wanted_only = (b.filter(pa.array(table[at >> 3] >> (at & 7) & 1 == 1)) for b in batches
+                       for at in [b.column("at").to_numpy()])
+        for batch in slices(wanted_only, "text", BATCH_BYTES):
             sets = [s for s in shingle_sets(batch.column("text").to_pylist()) if len(s)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([short(digest(s)) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
@@ -483,11 +503,14 @@ def near_links(df: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[D
     groups = found.where("members is not null").select(
         F.xxhash64("members").alias("group"), "members").dropDuplicates(["group"])
     groups = groups.select("group", F.explode("members").alias("node"))
-    # Whole sets of the candidates only. A row of each class is chosen by its key first, so that no other text travels.
+    # Whole sets of the candidates only. A row of each class is chosen by its key; a second pass over the texts
+    # makes the chosen rows' sets where they lie, so that no text travels. The few rows that the bit table lets
+    # through by chance go with the exact join after it.
     wanted = found.where("a is not null").select(F.explode(F.array("a", "b")).alias("node")).unionByName(
         found.where("members is not null").select(F.explode("members").alias("node"))).distinct()
     chosen = rows.groupBy("node").agg(F.min("key").alias("key")).join(wanted, "node", "left_semi")
-    texts = shaped.join(chosen.select("key"), "key", "left_semi").select("text")
+    bits = _wanted_rows(chosen)
+    texts = shaped.select("text", F.pmod(F.xxhash64("key"), F.lit(WANTED_BITS)).alias("at"))
     sets = checkpointed(
         texts.mapInArrow(sets_of, "node long, size long, profile binary, hashes binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     )
