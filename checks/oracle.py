@@ -912,6 +912,16 @@ select ticker, country, total, name || ' is a ' || country || '-listed ' || coal
   case when len(catalysts) > 0 then {joined('catalysts')} else 'No explicit catalyst is available in the current research fixture.' end as bull_case,
   case when len(risks) > 0 then {joined('risks')} else 'No explicit risk is available in the current research fixture.' end as bear_case
 from f""")
+    add("curated_scan", RESEARCH + f"""
+select name, upper(trim(ticker)) as ticker, country, exchange, segment, sector, market_cap_eur_m, listing_currency, price, price_currency,
+  pe_ratio, data_quality, {joined('catalysts')} as catalysts from research""")
+    add("profile_sink", RESEARCH + """
+select ticker, country, name, case when ordinal % 9 <> 0 then price end as price, pe_ratio,
+  name || ' is a ' || country || '-listed ' || coalesce(sector, 'unknown sector') || ' company on ' || exchange || '.' as business_summary
+from research""")
+    add("iso_dates", """
+select o_orderkey, text, case when o_orderkey % 7 > 1 then text end as day
+from (select o_orderkey, case o_orderkey % 7 when 0 then '1998-02-30' when 1 then 'May 11' else o_orderdate::date::varchar end as text from orders)""")
     add("json_listing_scan", "with" + LISTING + "," + QUOTE + """
 select name, ticker, country, exchange, segment, sector, listing_currency, price, percentage_change, turnover, volume from (
   select l.name, 'C' || case when c_custkey % 13 = 5 then c_custkey - 2 else c_custkey end as ticker, l.country, 'Exchange ' || l.country as exchange,

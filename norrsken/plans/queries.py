@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 
 from norrsken import constants as K
 from norrsken.functions import text as T
-from norrsken.functions.dates import add_weekdays
+from norrsken.functions.dates import add_weekdays, iso_date
 from norrsken.operators import calendar as cal
 from norrsken.operators import enrichment as en
 from norrsken.operators import outcomes as oc
@@ -442,6 +442,41 @@ def csv_listing_scan(spark, sf):
     )
 
 
+def curated_scan(spark, sf, block: int = 500):
+    """Research as curated files, one JSON array of companies each, and read again."""
+    folder = f"{shared_folder(spark, 'curated')}/files"
+    research = tt.research(spark, sf)
+    plain = ("name", "ticker", "country", "exchange", "segment", "sector", "market_cap_eur_m")
+    financials = F.struct("price", c("price_currency").alias("currency"), *METRIC_COLUMNS, "data_quality")
+    company = F.struct(
+        *plain, c("listing_currency").alias("currency"), "ir_url", financials.alias("financials"), "catalysts", "risks", "evidence")
+    files = research.groupBy(F.floor(c("c_custkey") / block).alias("block")).agg(F.to_json(F.collect_list(company)).alias("value"))
+    files.write.partitionBy("block").text(folder)
+    return ls.read_curated(spark, folder).select(
+        *plain, "listing_currency", "price", "price_currency", "pe_ratio", "data_quality", shown("catalysts"))
+
+
+def profile_sink(spark, sf):
+    """Profiles written as JSON and read again. Every ninth price is no finite number and is written as null."""
+    folder = f"{shared_folder(spark, 'profiles')}/files"
+    odd = F.when(c("c_custkey") % 18 == 0, float("nan")).otherwise(float("inf"))
+    research = tt.research(spark, sf).withColumn("price", F.when(c("c_custkey") % 9 == 0, odd).otherwise(c("price")))
+    rp.write_profiles(company_profiles(research), folder)
+    shape = ("company struct<ticker:string,country:string,name:string>, financials struct<price:double,pe_ratio:double>, "
+             "business_summary string")
+    return spark.read.schema(shape).json(folder).select(
+        "company.ticker", "company.country", "company.name", "financials.price", "financials.pe_ratio", "business_summary")
+
+
+def iso_dates(spark, sf):
+    """Order days as ISO text, every seventh one broken."""
+    key = c("o_orderkey")
+    text = F.when(key % 7 == 0, F.lit("1998-02-30")).when(key % 7 == 1, F.lit("May 11")).otherwise(
+        c("o_orderdate").cast("date").cast("string"))
+    orders = tt.table(spark, sf, "orders").select("o_orderkey", text.alias("text"))
+    return orders.select("o_orderkey", "text", iso_date(c("text")).cast("string").alias("day"))
+
+
 def csv_mixed_headers(spark, sf):
     """Files with their columns in two orders, and one synonym apart, in one folder."""
     folder = f"{shared_folder(spark, 'csv')}/files"
@@ -673,6 +708,9 @@ QUERIES: dict[str, Query] = {
     "json_listing_scan": json_listing_scan,
     "csv_listing_scan": csv_listing_scan,
     "csv_mixed_headers": csv_mixed_headers,
+    "curated_scan": curated_scan,
+    "profile_sink": profile_sink,
+    "iso_dates": iso_dates,
     "latest_listing": latest_listing,
     "report_scan": report_scan,
     "stream_ledger_update": stream_ledger,
