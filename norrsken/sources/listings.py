@@ -135,8 +135,10 @@ def csv_files(spark: SparkSession, path: str) -> DataFrame:
     files hold one market on one day. ``line`` is 0 for the header itself.
     """
     lines = F.split("value", "\r\n|\n|\r")
-    opened = spark.read.text(path, wholetext=True).select(
-        F.get(lines, F.lit(0)).alias("header"), F.posexplode(lines).alias("line", "text"))
+    # The header is taken before lines are opened: after it, the whole file would be split again for each line.
+    files = spark.read.text(path, wholetext=True).select(
+        F.regexp_extract("value", "^[^\\r\\n]*", 0).alias("header"), lines.alias("lines"))
+    opened = files.select("header", F.posexplode("lines").alias("line", "text"))
     header = _parsed(opened.where((F.col("line") == 0) | (strip(F.col("text")) != "")), "header", "names")
     named = header.withColumn("names", F.transform("names", lambda n: F.lower(strip(n))))
     return _parsed(named, "text", "fields")
