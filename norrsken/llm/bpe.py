@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 from functools import lru_cache
 
@@ -12,6 +13,8 @@ import regex
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 NO_RANK = np.iinfo(np.int32).max
+#: Bytes from which on a pre-token is merged by itself.
+LONG = 512
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -55,6 +58,69 @@ class Merges:
     def symbols(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Surviving symbols of all pre-tokens in one ragged array, and each one's length.
 
+        Pre-tokens of LONG bytes and more are merged one by one, so that a round looks at changed pairs only.
+        """
+        n = len(tokens)
+        if all(len(t) < LONG for t in tokens):
+            return self._together(tokens)
+        short = [i for i, t in enumerate(tokens) if len(t) < LONG]
+        symbols, counts = self._together([tokens[i] for i in short])
+        parts: list[np.ndarray] = [symbols[:0]] * n
+        for i, part in zip(short, np.split(symbols, np.cumsum(counts)[:-1])):
+            parts[i] = part
+        for i, token in enumerate(tokens):
+            if len(token) >= LONG:
+                parts[i] = self._alone(token)
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, n)
+
+    def _alone(self, token: bytes) -> np.ndarray:
+        """Symbols of one long pre-token: places of each rank are kept, and a merge looks up its two new pairs."""
+        symbol = self.of_byte[np.frombuffer(token, np.uint8)]
+        n = len(symbol)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        at_rank = np.full(n, NO_RANK, np.int32)  # rank of the pair that begins here; none where a symbol is gone
+        places: dict[int, list[np.ndarray]] = {}
+        lowest: list[int] = []
+
+        def look_up(at: np.ndarray) -> None:
+            at_rank[at] = NO_RANK
+            at = at[after[at] < n]
+            at_rank[at] = found = self.rank(symbol[at], symbol[after[at]])
+            at, found = at[found != NO_RANK], found[found != NO_RANK]
+            order = np.argsort(found, kind="stable")
+            ranks, starts = np.unique(found[order], return_index=True)
+            for rank, part in zip(ranks.tolist(), np.split(at[order], starts[1:])):
+                if rank not in places:
+                    places[rank] = []
+                    heapq.heappush(lowest, rank)
+                places[rank].append(part)
+
+        look_up(np.arange(n))
+        while lowest:
+            rank = heapq.heappop(lowest)
+            at = np.unique(np.concatenate(places.pop(rank)))
+            at = at[at_rank[at] == rank]
+            if not len(at):
+                continue
+            # In a run of equal symbols every other place counts.
+            fresh = np.r_[True, after[at[:-1]] != at[1:]]
+            first = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - first) % 2 == 0]
+            gone = after[at]
+            symbol[at] = self.by_rank[rank]
+            at_rank[gone] = NO_RANK
+            after[at] = after[gone]
+            inside = after[at] < n
+            before[after[at[inside]]] = at[inside]
+            left = before[at]
+            look_up(np.unique(np.r_[at, left[left >= 0]]))
+        alive = np.ones(n, bool)
+        alive[1:] = after[before[1:]] == np.arange(1, n)
+        return symbol[alive]
+
+    def _together(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All pre-tokens at once.
+
         In every round each sequence looks up its lowest-ranked pair and merges all places of it
         (left to right where they overlap), for all sequences at once; finished ones are set aside.
         """

@@ -589,8 +589,14 @@ def first_of_each(df: DataFrame) -> DataFrame:
     """
     rows, known = near_links(df)
     labelled = _labelled(rows, "node", components(known))
-    firsts = labelled.where("node is not null").groupBy("component").agg(F.min("key").alias("_key")).select("_key")
-    firsts = firsts.unionByName(rows.where("node is null").select(F.col("key").alias("_key")).distinct())
-    kept = df.withColumn("_key", _row_key()).join(firsts, "_key", "left_semi")
-    order = Window.partitionBy("_key").orderBy(*[F.xxhash64(c) for c in df.columns])
-    return kept.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*df.columns)
+    firsts = labelled.where("node is not null").groupBy("component").agg(F.min("key").alias("key")).select("key")
+    firsts = firsts.unionByName(rows.where("node is null").select("key").distinct())
+    whole = df.select(_row_key().alias("key"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    kept = whole.join(firsts, "key", "left_semi")
+    # Maps have no hash; their JSON stands for them.
+    ties = [F.col("row").getField(f.name) for f in df.schema]
+    ties = [F.xxhash64(F.to_json(F.struct(t)) if "map<" in f.dataType.simpleString() else t)
+            for t, f in zip(ties, df.schema)]
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(*ties))
+    once = kept.withColumn("nth", nth).where("nth = 1")
+    return once.select(*[F.col("row").getField(c).alias(c) for c in df.columns])

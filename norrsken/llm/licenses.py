@@ -56,6 +56,8 @@ FIXED_WORD = 3
 
 #: One edit is allowed for so many characters of a notice.
 CHARS_PER_EDIT = 10
+#: Notices' lengths of a stretch that are searched at once.
+PART = 16
 BATCH_BYTES = 8 << 20
 
 SCHEMA = (
@@ -116,15 +118,26 @@ class Notices:
         out = []
         for number, stretches in self.windows(text).items():
             notice, label, most, pattern = self.notices[number]
-            # The best match of a stretch is found first, then what stands on either side of it.
+            # The best match of a stretch is found first, then what stands on either side of it. A stretch is read
+            # from the left in parts of PART notices, so that a long one takes as many searches as it has matches.
+            length = len(notice) + most + 2 * self.edge
             todo = [(max(0, low - self.edge), min(len(text), high + self.edge)) for low, high in stretches]
             while todo:
                 low, high = todo.pop()
-                if high - low < len(notice) - most or not (m := pattern.search(text[low:high])):
+                if high - low < len(notice) - most:
+                    continue
+                cut = min(high, low + PART * length)
+                m = pattern.search(text[low:cut])
+                if m and low + m.end() > cut - length and cut < high:
+                    # One that reaches beyond the cut may be better.
+                    m = pattern.search(text[low:cut + length])
+                if not m:
+                    if cut < high:
+                        todo.append((cut - length + 1, high))
                     continue
                 start, end, edits = low + m.start(), low + m.end(), sum(m.fuzzy_counts)
                 out.append((label, start, end, edits, 1 - edits / len(notice)))
-                todo += [(low, start), (end, high)]
+                todo += [(end, high), (low, start)]
         return sorted(set(out))
 
 

@@ -162,6 +162,16 @@ def test_first_of_each_decides_by_row(spark):
         [(1, one), (2, two), (7, three), (None, "d e f g h i"), (3, ""), (4, "")], key=repr)
 
 
+def test_first_of_each_keeps_any_columns(spark):
+    text = " ".join(f"a{i}" for i in range(60))
+    frame = spark.createDataFrame(
+        [(1, text, 10, {"a": 1}, 1), (1, text, 10, {"a": 1}, 1), (2, text, 11, {"a": 2}, 2), (3, "b c", 12, None, 3)],
+        "doc_id long, text string, _key int, `m.n` map<string,int>, nth int")
+    kept = jc.first_of_each(frame)
+    assert kept.columns == frame.columns and kept.dtypes == frame.dtypes
+    assert sorted((r[0], r[2], r[3], r[4]) for r in kept.collect()) == [(1, 10, {"a": 1}, 1), (3, 12, None, 3)]
+
+
 def test_components(spark):
     rng = random.Random(5)
     pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(i, i + 1) for i in range(500, 700)]

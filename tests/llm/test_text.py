@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -11,6 +12,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from checks.compare import connection, differences
 from norrsken.llm import fingerprints as fp
@@ -119,9 +121,104 @@ def test_every_copy_of_a_notice_is_found(notice, copies, between):
         assert _distance_within(notice, text[a:b]) <= len(notice) // lc.CHARS_PER_EDIT
 
 
+@pytest.mark.parametrize("copy", ["all rights reservd ", "gnu genaral public license "])
+def test_long_runs_of_a_notice(copy):
+    began = time.perf_counter()
+    found = lc.Notices().matches(" " + copy * 4000)
+    assert time.perf_counter() - began < 5
+    spans = sorted({m[1:3] for m in found})
+    assert len(spans) >= 4000 and {m[3] for m in found} == {1}
+
+
 # Language ID
 
 
+def test_presence_is_that_of_plain_ngrams():
+    text = "Ab bá"
+    plain, want = f" {text.lower()} ", set()
+    for at in range(len(plain)):
+        code = 0
+        for order in (1, 2, 3):
+            if at + order > len(plain):
+                break
+            grown = ord(plain[at + order - 1]) + order
+            code = ((code * 0x1000193 if order > 1 else 0) + grown) % 2**64
+            want.add((code * 0x9E3779B97F4A7C15) % 2**64 >> 49)
+    assert lg.presence(text).tolist() == sorted(want)
+
+
+def test_regression_equals_plain_kernel_ridge():
+    """With all rows as landmarks the Nyström map is exact, and the dual solution is the same function."""
+    rng = np.random.default_rng(4)
+    words = {c: ["".join(rng.choice(list(letters), 5)) for _ in range(40)]
+             for c, letters in (("x", "abcdefg"), ("y", "efghijk"), ("z", "jklmnop"))}
+    texts = [(" ".join(rng.choice(words[c], 12)), c) for c in "xyz" for _ in range(12)]
+    sets = [set(lg.presence(t).tolist()) for t, _ in texts]
+    kernel = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    n = len(texts)
+    centring = np.eye(n) - 1 / n
+    y = np.array([[1.0 if c == name else -1.0 for name in "xyz"] for _, c in texts])
+    dual = np.linalg.solve(centring @ kernel @ centring + lg.RIDGE * n * np.eye(n), y - y.mean(0))
+    want = centring @ kernel @ centring @ dual + y.mean(0)
+    model = lg.fit([lg.presence(t) for t, _ in texts], [c for _, c in texts])
+    got = lg._unit_rows([lg.presence(t) for t, _ in texts]) @ model.weights + model.bias
+    assert model.languages == ["x", "y", "z"] and np.abs(got - want).max() < 1e-3
+
+
+def test_all_of_a_hundred_languages_are_learned(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(100):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrst"), 4)) for _ in range(12)]
+        rows += [(1000 * k + i, " ".join(rng.choice(words, 30)), f"l{k:03}") for i in range(10)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    predicted = lg.languages(frame).join(frame.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in predicted if r.held_out]
+    assert len({r.lang_pred for r in predicted}) == 100
+    assert np.mean([r.lang_pred == r.lang for r in held]) > 0.9
+    sampled = lg.training_sample(frame, most=250).groupBy("lang").count().collect()
+    assert len(sampled) == 100 and {r["count"] for r in sampled} == {2}
+
+
+def test_repeated_ids_are_learned_once(spark):
+    rows = [(7, f"word{i} of one id", "en") for i in range(10_000)] + [(i, "other words here", "en") for i in range(8, 30)]
+    rows += [(None, "no id", "en"), (7, "un mot", "fr")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = {i for i in range(7, 30) if zlib.crc32(str(i).encode()) % 5}
+    got = sorted((r.lang, r.doc_id, r.text) for r in lg.training_sample(frame).collect())
+    assert [(g, i) for g, i, _ in got] == sorted([("en", i) for i in want] + ([("fr", 7)] if 7 in want else []))
+    assert got[0][2] == "word0 of one id" or 7 not in want
+
+
+ALIEN = ["Ένα σύντομο κείμενο στα ελληνικά για δοκιμή του ταξινομητή", "Это короткий русский текст о погоде и новостях",
+         "中文文本用于测试语言识别的拒绝", "Ένα σύντομο κείμενο στα ελληνικά. " * 500]
+
+
+@pytest.mark.parametrize("languages", [2, 4, 40])
+def test_unlearned_languages_are_rejected(spark, languages):
+    """Whatever the number of languages; labels are split to have more of them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    if languages == 2:
+        docs = docs.where("lang in ('en', 'de')")
+    elif languages == 40:
+        docs = docs.withColumn("lang", F.concat("lang", (F.col("doc_id") % 10).cast("string")))
+    strange = spark.createDataFrame([(10**9 + i, t, None) for i, t in enumerate(ALIEN)], docs.schema)
+    kept = {r.doc_id for r in lg.in_known_language(docs.unionByName(strange)).select("doc_id").collect()}
+    assert not kept & {10**9 + i for i in range(len(ALIEN))}
+    assert len(kept) >= 0.998 * docs.count()
+
+
+def test_known_language_keeps_any_columns(spark):
+    frame = spark.createDataFrame(
+        [(i, "the words of a plain text", "en", 5, {"a": i}, None) for i in range(9)] + [(9, None, None, 6, None, None)],
+        "doc_id long, text string, lang string, `a.b` int, m map<string,int>, row struct<key:int>")
+    kept = lg.in_known_language(frame)
+    assert kept.columns == frame.columns and kept.dtypes == frame.dtypes
+    assert sorted((r[0], r[3], r[4]["a"]) for r in kept.collect()) == [(i, 5, i) for i in range(9)]
+
+
+
+
 def test_languages(spark):
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = lg.languages(big).join(big.select("doc_id", "lang"), "doc_id").collect()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import zlib
 from collections import defaultdict
 
@@ -50,6 +51,23 @@ def test_ids_of_any_white_space(texts):
     assert encoder.encode(texts) == want and encoder.encode(texts) == want
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("aaabthe é語Z9"), min_size=1, max_size=80))
+def test_long_words_merge_like_short_ones(text):
+    merges = bpe.merges(PATH)
+    assert merges._alone(text.encode()).tolist() == merges._together([text.encode()])[0].tolist()
+
+
+def test_long_words_against_library(library):
+    rng = np.random.default_rng(2)
+    letters = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 80_000))
+    texts = ["a" * 3001 + " b " + "ab" * 2000, letters[:5000], "語" * 4000, "x" * 511 + " " + "y" * 512, letters]
+    began = time.perf_counter()
+    counts = Counter(PATH).count(texts).tolist()
+    assert time.perf_counter() - began < 5
+    assert counts == [len(i) for i in _encoded(library, texts)]
+
+
 def test_odd_rows(odd, none, odd_rows, library):
     got = sorted(tuple(r) for r in token_counts(odd).fillna({"doc_id": -1}).collect())
     want = sorted(
