@@ -2,10 +2,11 @@
 
 Centroids are fitted on a bounded sample by balanced splitting: a cluster with more than its share of
 the sample is split in two until all are small, so that lists are balanced. A graph links each centroid
-to its nearest ones; assigning and searching walk this graph in memory. A vector goes to its nearest
-centroid and, near a boundary, also to others whose distance is at most a ratio larger. A query reads
-the lists of its nearest centroids, as many as it takes on the sample for ``RECALL`` against brute force: few
-where vectors form groups, most of them where they do not. All rows are indexed.
+to its nearest ones and to its neighbours in the order of the splits, so that it hangs together; assigning and
+searching walk this graph in memory. A vector goes to its nearest centroid and, near a boundary, also to others
+whose distance is at most a ratio larger. A query reads the lists whose centroids are at most another ratio further
+away than its nearest one (and ``LEAST_LISTS`` in any case). That ratio is the one that takes it to ``RECALL`` against
+brute force on the sample: few lists where vectors form groups, most of them where they do not. All rows are indexed.
 
 Inner product is turned into distance by one more component that gives all vectors the same norm.
 
@@ -16,7 +17,8 @@ are dealt to several tasks, in which a block of vectors meets a block of queries
 
 Defined cases: vectors that are null, zero, of another length than most, or that hold null or
 non-finite components take no part; neither do null ids. Repeated rows (same id and vector) are one
-candidate. Empty tables give no rows. Only id and vector are read, so further columns cannot clash.
+candidate. An id with several vectors is as near as its nearest vector and is named once in a list; as a query it
+has one list, over all its vectors. Empty tables give no rows. Only id and vector are read, so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -36,8 +38,9 @@ QUERY_EVERY = 20
 #: Rows of the fitting sample, vectors of the sample to a centroid, and most centroids (broadcast).
 SAMPLE = 20_000
 PER_CENTROID = 40
-#: Links of a centroid in the graph, and centroids kept while walking it.
+#: Links of a centroid to nearest ones, centroids from which a walk starts, and centroids that a walk opens at least.
 LINKS = 16
+ENTRIES = 96
 BEAM = 64
 #: Boundary vectors: copies at most, and ratio of squared distances up to which they are made.
 COPIES = 4
@@ -46,8 +49,8 @@ COPY_RATIO = 1.15
 #: and fewest lists read.
 RECALL = 0.97
 TRIED = 250
-LEAST_LISTS = 40
-#: Cells that the lists read by a query would fill, if they were neighbours.
+LEAST_LISTS = 16
+#: Cells that the lists read by a query on average would fill, if they were neighbours.
 CELLS = 16
 #: Vectors of a cell, and queries that read it, which meet in one task.
 BLOCK = 4000
@@ -66,54 +69,41 @@ class Index:
         rest = np.maximum(0.0, self.norm - (vectors**2).sum(1))
         return np.c_[vectors, np.sqrt(rest)]
 
+    def walk(self, point: np.ndarray, beam: int, ratio: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+        """Centroids and squared distances, nearest first, of a best-first walk of the graph. It opens the ``beam``
+        nearest ones and all up to ``ratio`` times the least squared distance, and returns these."""
+        ids = self.entry
+        seen, opened = np.zeros(len(self.centroids), bool), np.zeros(len(self.centroids), bool)
+        seen[ids] = True
+        d = ((self.centroids[ids] - point) ** 2).sum(1)
+        while True:
+            order = np.argsort(d, kind="stable")
+            keep = max(beam, int(np.searchsorted(d[order], ratio * d[order[0]], "right")))
+            ids, d = ids[order[:keep]], d[order[:keep]]
+            todo = ids[~opened[ids]]
+            if not len(todo):
+                return ids, d
+            todo = todo[:max(8, len(todo) // 4)]
+            opened[todo] = True
+            new = np.unique(self.links[todo])
+            new = new[~seen[new]]
+            seen[new] = True
+            ids, d = np.r_[ids, new], np.r_[d, ((self.centroids[new] - point) ** 2).sum(1)]
+
     def near(self, points: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``count`` nearest centroids, and squared distances: more than a beam's by all distances, others
-        by a best-first walk of the graph."""
+        """The ``count`` nearest centroids of each point (all, if fewer), and squared distances."""
         count = min(count, len(self.centroids))
-        if count > BEAM:
-            return self.nearest_of_all(points, count)
-        beam = min(BEAM, len(self.centroids))
-        found = np.empty((len(points), count), np.int64)
-        dist = np.empty((len(points), count))
-        for i, p in enumerate(points):
-            seen = np.zeros(len(self.centroids), bool)
-            at = self.entry
-            seen[at] = True
-            d = ((self.centroids[at] - p) ** 2).sum(1)
-            keep = np.argsort(d, kind="stable")[:beam]
-            ids, d = at[keep], d[keep]
-            opened = np.zeros(len(self.centroids), bool)
-            while True:
-                todo = ids[~opened[ids]][:8]
-                if not len(todo):
-                    break
-                opened[todo] = True
-                new = np.unique(self.links[todo])
-                new = new[~seen[new]]
-                if not len(new):
-                    continue
-                seen[new] = True
-                ids = np.r_[ids, new]
-                d = np.r_[d, ((self.centroids[new] - p) ** 2).sum(1)]
-                keep = np.argsort(d, kind="stable")[:beam]
-                ids, d = ids[keep], d[keep]
-            if len(ids) < count:  # a graph in parts
-                rest = np.flatnonzero(~seen)
-                ids, d = np.r_[ids, rest], np.r_[d, ((self.centroids[rest] - p) ** 2).sum(1)]
-                keep = np.argsort(d, kind="stable")
-                ids, d = ids[keep], d[keep]
-            found[i], dist[i] = ids[:count], d[:count]
-        return found, dist
-
-    def nearest_of_all(self, points: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-        found, dist = [np.empty((0, count), np.int64)], [np.empty((0, count))]
-        own = (self.centroids**2).sum(1)
-        for at in range(0, len(points), 256):
-            part = points[at:at + 256]
-            d = np.maximum(0.0, (part**2).sum(1)[:, None] - 2 * part @ self.centroids.T + own)
-            found.append(np.argsort(d, axis=1, kind="stable")[:, :count])
-            dist.append(np.take_along_axis(d, found[-1], 1))
-        return np.concatenate(found), np.concatenate(dist)
+        walks = [self.walk(p, max(BEAM, count)) for p in points]
+        return (np.array([ids[:count] for ids, _ in walks], np.int64).reshape(-1, count),
+                np.array([d[:count] for _, d in walks]).reshape(-1, count))
+
+    def within(self, points: np.ndarray, ratio: float) -> list[np.ndarray]:
+        """The centroids whose lists each point reads: by ratio of squared distances, LEAST_LISTS at least."""
+        out = []
+        for p in points:
+            ids, d = self.walk(p, BEAM, ratio)
+            out.append(ids[:max(LEAST_LISTS, int(np.searchsorted(d, ratio * d[0], "right")))])
+        return out
 
     def points_of(self, queries: np.ndarray) -> np.ndarray:
         return np.c_[queries * np.sqrt(self.norm / (queries**2).sum(1))[:, None], np.zeros(len(queries))]
@@ -144,25 +134,28 @@ def fit(sample: np.ndarray, norm: float, per_centroid: int = PER_CENTROID) -> In
             a, b = x[order[:split]].mean(0), x[order[split:]].mean(0)
         todo += [own[order[:split]], own[order[split:]]]
     centroids = np.array(leaves)
-    links = np.empty((len(centroids), min(LINKS, len(centroids))), np.int64)
+    lists = len(centroids)
+    links = np.empty((lists, min(LINKS, lists)), np.int64)
     for at in range(0, len(centroids), 256):
         part = centroids[at:at + 256]
         d = (part**2).sum(1)[:, None] - 2 * part @ centroids.T + (centroids**2).sum(1)[None]
         links[at:at + 256] = np.argsort(d, axis=1, kind="stable")[:, :links.shape[1]]
-    entry = rng.choice(len(centroids), min(16, len(centroids)), replace=False)
-    return Index(centroids, links, np.sort(entry), norm)
+    # Leaves are numbered in the order of the splits: that chain makes the graph one part.
+    chain = np.clip(np.arange(lists)[:, None] + [-1, 1], 0, lists - 1)
+    entry = np.unique(np.linspace(0, lists - 1, min(ENTRIES, lists)).astype(np.int64))
+    return Index(centroids, np.c_[links, chain], entry, norm)
 
 
-def lists_read(index: Index, sample: np.ndarray, k: int) -> int:
-    """How many lists a query has to read, so that RECALL of its k nearest vectors of the sample are in them.
+def reading_ratio(index: Index, sample: np.ndarray, k: int) -> tuple[float, int]:
+    """The ratio of squared distances up to which a query reads lists, so that RECALL of its k nearest vectors of
+    the sample are in them, and how many lists that is on average.
 
-    A table larger than its sample is denser: neighbours are nearer, and fewer lists would do.
+    A table larger than its sample is denser: neighbours are nearer, and a smaller ratio would do.
     """
     lists = len(index.centroids)
-    if len(sample) <= 1 or lists <= LEAST_LISTS:
-        return lists
+    if len(sample) <= 1:
+        return 1.0, lists
     tried = np.random.default_rng(5).permutation(len(sample))[:TRIED]
-    order, _ = index.nearest_of_all(index.points_of(sample[tried]), lists)
     best = []
     for i in tried:
         scores = sample @ sample[i]
@@ -170,12 +163,14 @@ def lists_read(index: Index, sample: np.ndarray, k: int) -> int:
         best.append(np.argsort(-scores, kind="stable")[:min(k, len(sample) - 1)])
     ids, at = np.unique(np.concatenate(best), return_inverse=True)
     found, counts = index.lists_of(sample[ids])
+    points = index.points_of(sample[tried])
     needed = []
-    for ranked, own in zip(order, at.reshape(len(tried), -1)):
-        place = np.empty(lists, np.int64)
-        place[ranked] = np.arange(1, lists + 1)
-        needed.append(np.where(counts[own], place[found[own]], lists).min(1))
-    return max(LEAST_LISTS, int(np.quantile(np.concatenate(needed), RECALL, method="higher")))
+    for point, own in zip(points, at.reshape(len(tried), -1)):
+        d = ((index.centroids - point) ** 2).sum(1)
+        furthest = np.where(counts[own], d[found[own]], np.inf).min(1)
+        needed.append(furthest / max(d.min(), np.finfo(float).tiny))
+    ratio = float(np.quantile(np.concatenate(needed), RECALL, method="higher"))
+    return ratio, int(np.ceil(np.mean([len(ids) for ids in index.within(points, ratio)])))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -217,8 +212,8 @@ def nearest(df: DataFrame, id: str = "vec_id", vector: str = "embedding", k: int
         return empty
     fitted = _matrix(sample.column("v").combine_chunks())
     index = fit(fitted, top)
-    most = lists_read(index, fitted, k)
-    per_cell = -(-most // CELLS)
+    ratio, read_lists = reading_ratio(index, fitted, k)
+    per_cell = -(-read_lists // CELLS)
     index = spark.sparkContext.broadcast(index)
 
     def cells_of(read: bool):
@@ -228,12 +223,11 @@ def nearest(df: DataFrame, id: str = "vec_id", vector: str = "embedding", k: int
                     continue
                 v = _matrix(batch.column("v"))
                 if read:
-                    found, _ = index.value.near(index.value.points_of(v), most)
-                    chosen = np.ones(found.shape, bool)
+                    chosen = index.value.within(index.value.points_of(v), ratio)
                 else:
-                    found, chosen = index.value.lists_of(v)
+                    chosen = [found[counts] for found, counts in zip(*index.value.lists_of(v))]
                 # Lists are numbered in the order of the splits, so neighbours in number are neighbours.
-                cells = pa.array([np.unique(f[c] // per_cell).tolist() for f, c in zip(found, chosen)], pa.list_(pa.int64()))
+                cells = pa.array([np.unique(lists // per_cell).tolist() for lists in chosen], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, cells], [*batch.schema.names, "cells"])
         return run
 
@@ -269,14 +263,21 @@ def nearest(df: DataFrame, id: str = "vec_id", vector: str = "embedding", k: int
             for at in range(0, len(q), 512):
                 scores = q[at:at + 512] @ x.T
                 for i, row in enumerate(scores):
-                    if len(row) > k + 1:
-                        edge = np.partition(row, len(row) - k - 1)[len(row) - k - 1]
-                        best = np.flatnonzero(row >= edge - 1e-9 * max(1.0, abs(edge)))
-                    else:
-                        best = np.arange(len(row))
-                    # Scores that are returned come from one and the same order of summing.
-                    exact = [(-float(np.dot(q[at + i], x[j])), n) for j in best.tolist() for n in ids[j]]
-                    out += [(keys[at + i], n, -s) for s, n in sorted(exact)[:k + 1]]
+                    named, rows = {}, k + 1
+                    while True:
+                        if len(row) > rows:
+                            edge = np.partition(row, len(row) - rows)[len(row) - rows]
+                            best = np.flatnonzero(row >= edge - 1e-9 * max(1.0, abs(edge)))
+                        else:
+                            best = np.arange(len(row))
+                        # Scores that are returned come from one and the same order of summing.
+                        for j in best.tolist():
+                            score = float(np.dot(q[at + i], x[j]))
+                            named |= {n: max(score, named.get(n, score)) for n in ids[j]}
+                        if len(named) > k or len(best) == len(row):
+                            break
+                        rows *= 2  # few ids with many vectors each
+                    out += [(keys[at + i], n, s) for n, s in sorted(named.items(), key=lambda e: (-e[1], e[0]))[:k + 1]]
         kinds = [pa.struct([("a", pa.int64()), ("b", pa.int64())]), pa.int64(), pa.float64()]
         columns = list(zip(*out)) or [(), (), ()]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["key", "vec_id", "score"])
@@ -293,6 +294,7 @@ def nearest(df: DataFrame, id: str = "vec_id", vector: str = "embedding", k: int
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         own.join(listed, "key").where(F.col("query_id") != F.col("vec_id"))
+        .groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         .withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )

@@ -229,6 +229,60 @@ def test_recall_of_many_vectors_without_groups(spark):
     assert np.mean([len(got[q] & w) / 20 for q, w in want.items()]) >= 0.95
 
 
+def _grouped(n, groups, seed):
+    rng = np.random.default_rng(seed)
+    middles = rng.normal(size=(groups, 32))
+    return middles[rng.integers(groups, size=n)] + 0.3 * rng.normal(size=(n, 32))
+
+
+def test_recall_of_grouped_vectors(spark):
+    v = _grouped(12_000, 60, 11)
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": v.tolist()}))
+    got = defaultdict(set)
+    for r in nn.nearest(frame, every=100).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = []
+    for i in range(0, len(v), 100):
+        scores = v @ v[i]
+        scores[i] = -np.inf
+        hits.append(len(got[i] & set(np.argsort(-scores, kind="stable")[:20].tolist())) / 20)
+    assert np.mean(hits) >= 0.95
+
+
+@pytest.mark.parametrize("groups", [1, 60])
+def test_walks_of_the_graph_find_what_all_distances_find(groups):
+    v = _grouped(10_000, groups, 5)
+    index = nn.fit(v, float((v**2).sum(1).max()))
+    assert len(index.centroids) > 4 * nn.BEAM
+    points = index.points_of(v[:200])
+    ratio, average = nn.reading_ratio(index, v, 20)
+    found = wanted = first = 0
+    for point, lists, (near, _) in zip(points, index.within(points, ratio), zip(*index.near(points, 4))):
+        d = ((index.centroids - point) ** 2).sum(1)
+        want = set(np.flatnonzero(d <= ratio * d.min())) | set(np.argsort(d, kind="stable")[:nn.LEAST_LISTS])
+        assert len(set(lists.tolist())) == len(lists) and set(lists.tolist()) <= set(range(len(d)))
+        found, wanted = found + len(want & set(lists.tolist())), wanted + len(want)
+        first += near[0] == d.argmin()
+    assert found >= 0.99 * wanted and first >= 0.99 * len(points)
+    if groups > 1:
+        assert average < len(index.centroids) / 2
+
+
+def test_an_id_with_several_vectors_is_named_once(spark):
+    rng = np.random.default_rng(2)
+    rows = [(7, (rng.normal(size=4) * 0.01 + [5, 0, 0, 0]).tolist()) for _ in range(60)]
+    rows += [(20, [1.0, 0.0, 0.0, 0.0]), (20, [0.0, 1.0, 0.0, 0.0])]
+    rows += [(i, rng.normal(size=4).tolist()) for i in range(101, 131)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    best = defaultdict(lambda: -np.inf)
+    for n, x in rows[62:] + rows[:60]:
+        for q in ([1, 0, 0, 0], [0, 1, 0, 0]):
+            best[n] = max(best[n], float(np.dot(x, q)))
+    want = sorted(best, key=lambda n: (-best[n], n))[:20]
+    got = [r.vec_id for r in nn.nearest(frame).where("query_id = 20").orderBy("rank").collect()]
+    assert got == want and got[0] == 7
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 0.5], "x") for i in range(0, 60)] + [
