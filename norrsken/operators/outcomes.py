@@ -10,10 +10,7 @@ from norrsken import constants as K
 from norrsken.functions.dates import add_weekdays
 from norrsken.functions.numeric import round_dp
 from norrsken.schemas import OUTCOMES, SNAPSHOTS, conform
-
-
-#: Groups that one country's rows of one day are dealt to.
-BENCHMARK_BUCKETS = 64
+from norrsken.session import sorted_side
 
 
 def pick_id(report_date: Column, strategy: Column, country: Column, ticker: Column) -> Column:
@@ -60,27 +57,21 @@ def open_outcomes(picks: DataFrame) -> DataFrame:
     return conform(with_horizons(picks).withColumn("status", F.lit(K.NOT_DUE)), OUTCOMES)
 
 
-def _bucket() -> Column:
-    """A company's bucket: a country's rows of a day lie in as many groups."""
-    return F.pmod(F.xxhash64("ticker"), F.lit(BENCHMARK_BUCKETS))
-
-
 def country_benchmark(snapshots: DataFrame, spans: DataFrame) -> DataFrame:
     """Mean return of all peers present on both days in the same currency, per span.
 
     ``spans`` holds the wanted (country, report_date, due_date) combinations. It is reduced to
     distinct spans first, so the peers are joined once per span and not once per pick. One country
-    may hold most rows of a day, so companies lie in buckets: the few spans are repeated for every
-    bucket, both joins have bucket or ticker in their key, and gains are summed by bucket before
-    country and days meet. The mean is summed as decimals: the result does not depend on how rows
-    met in partitions.
+    may hold most rows of a day: the spans, which grow with countries and days alone, go to where
+    the quotes lie, the join with the last quotes has the ticker in its key, and gains are summed
+    in its tasks before country and days meet. The mean is summed as decimals: the result does not
+    depend on how rows met in partitions.
     """
-    buckets = F.explode(F.sequence(F.lit(0), F.lit(BENCHMARK_BUCKETS - 1)).cast("array<bigint>"))
-    spans = spans.select("country", "report_date", "due_date").distinct().withColumn("bucket", buckets)
+    spans = F.broadcast(spans.select("country", "report_date", "due_date").distinct())
     quotes = snapshots.select("country", "ticker", "snapshot_date", "price", "currency")
     entry = quotes.where("price is not null and price <> 0").select(
         "country", "ticker", F.col("snapshot_date").alias("report_date"),
-        F.col("price").alias("from_price"), "currency", _bucket().alias("bucket"),
+        F.col("price").alias("from_price"), "currency",
     )
     last = quotes.where("price is not null").select(
         "country", "ticker", F.col("snapshot_date").alias("due_date"),
@@ -88,9 +79,9 @@ def country_benchmark(snapshots: DataFrame, spans: DataFrame) -> DataFrame:
     )
     gain = (F.col("to_price") - F.col("from_price")) / F.col("from_price") * 100.0
     sums = (
-        entry.join(spans, ["country", "report_date", "bucket"])
-        .join(last, ["country", "ticker", "due_date", "currency"])
-        .groupBy("country", "report_date", "due_date", "bucket")
+        entry.join(spans, ["country", "report_date"])
+        .join(sorted_side(last), ["country", "ticker", "due_date", "currency"])
+        .groupBy("country", "report_date", "due_date")
         .agg(
             F.sum(F.round(gain, 8).try_cast("decimal(24,8)")).alias("gains"),
             # Beyond the decimal's range the sum of such gains is a double: one odd quote ends no run.
@@ -98,16 +89,10 @@ def country_benchmark(snapshots: DataFrame, spans: DataFrame) -> DataFrame:
             F.count("*").alias("peers"),
         )
     )
-    return (
-        sums.groupBy("country", "report_date", "due_date")
-        .agg(*(F.sum(n).alias(n) for n in ("gains", "odd_gains", "peers")))
-        .select(
-            "country", "report_date", "due_date", "peers",
-            round_dp((F.coalesce(F.col("gains").cast("double"), F.lit(0.0)) + F.coalesce("odd_gains", F.lit(0.0)))
-                     / F.col("peers"), 2).alias(
-                "benchmark_return_pct"
-            ),
-        )
+    return sums.select(
+        "country", "report_date", "due_date", "peers",
+        round_dp((F.coalesce(F.col("gains").cast("double"), F.lit(0.0)) + F.coalesce("odd_gains", F.lit(0.0)))
+                 / F.col("peers"), 2).alias("benchmark_return_pct"),
     )
 
 
@@ -136,7 +121,7 @@ def settle(due: DataFrame, quotes: DataFrame, snapshots: DataFrame) -> DataFrame
         c("price").alias("quote_price"), c("currency").alias("quote_currency"),
     )
     on_time = c("as_of_date") == c("due_date")
-    df = due.join(prices, ["ticker", "country", "due_date"], "left")
+    df = due.join(sorted_side(prices), ["ticker", "country", "due_date"], "left")
     usable = (
         c("quote_price").isNotNull()
         & c("entry_price").isNotNull()
@@ -211,7 +196,7 @@ def update_due(
     moving = (
         keyed.where("moves")
         .select("pick_id", "report_date", "horizon", "due_date", today.alias("as_of_date"))
-        .join(entry, ["pick_id", "report_date"])
+        .join(sorted_side(entry), ["pick_id", "report_date"])
     )
     window = snapshots.where(c("snapshot_date") <= today)
     settled = conform(settle(moving, day_quotes, window), OUTCOMES)

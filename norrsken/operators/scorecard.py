@@ -18,6 +18,7 @@ from norrsken.functions.text import (
     signal_label,
 )
 from norrsken.operators.ranking import numbered, top_k
+from norrsken.session import sorted_side
 
 ALL_STRATEGIES = "all"
 
@@ -239,7 +240,7 @@ def signal_attribution(picks: DataFrame, outcomes: DataFrame) -> DataFrame:
     aggregation reduces them before the shuffle.
     """
     c = F.col
-    rated = picks.join(latest_returns(outcomes), "pick_id")
+    rated = picks.join(sorted_side(latest_returns(outcomes)), "pick_id")
     cents = _cents(c("latest_return_pct"))
     per_strategy = (
         rated.select("strategy", cents.alias("cents"), F.explode(pick_signals()).alias("signal"))

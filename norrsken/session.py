@@ -47,6 +47,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def sorted_side(df: DataFrame) -> DataFrame:
+    """A side that grows with the data, for a sort-merge join.
+
+    Spark takes a written table's size on disk, less the columns left out, for its size in memory. A few MB of
+    well packed columns are millions of rows, which a broadcast would hold in the driver and in every executor.
+    """
+    return df.hint("merge")
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new, unique folder below the cluster's ``spark.checkpoint.dir``.
 

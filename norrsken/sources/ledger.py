@@ -28,7 +28,7 @@ from norrsken.functions.dates import weekday_after
 from norrsken.operators.outcomes import market_snapshot, open_outcomes, settle
 from norrsken.operators.scorecard import TALLIES, return_tallies
 from norrsken.schemas import OUTCOMES, PICKS, SNAPSHOTS, conform
-from norrsken.session import checkpointed
+from norrsken.session import checkpointed, sorted_side
 
 #: Table -> columns and the day it is cut by.
 TABLES: dict[str, tuple[StructType, str]] = {
@@ -50,7 +50,7 @@ def merge_picks(existing: DataFrame, incoming: DataFrame, priced: DataFrame) ->
     keys = ["report_date", "pick_id"]
     entry = ("entry_price", "entry_currency", "entry_timestamp")
     locked = priced.select(*keys).distinct().withColumn("locked", F.lit(True))
-    old = existing.join(locked, keys, "left").select(
+    old = existing.join(sorted_side(locked), keys, "left").select(
         *keys, F.lit(True).alias("was_there"), F.coalesce("locked", F.lit(False)).alias("locked"),
         *(c(n).alias(f"old_{n}") for n in PICKS.names if n not in keys),
     )
@@ -135,7 +135,8 @@ class Ledger:
         base = f"{self.path}/data/{name}"
         folders = [f"{base}/run={run}/{partition}={day}" for day in sorted(wanted) for run in held[day]]
         if not folders:
-            return self.spark.createDataFrame([], schema)
+            # The limit lets the planner know that there are no rows, and leave out joins with them.
+            return self.spark.createDataFrame([], schema).limit(0)
         stored = StructType([f for f in schema.fields if f.name != partition] + [
             StructField("run", StringType()), schema[partition]])
         return self.spark.read.schema(stored).option("basePath", base).parquet(*folders).select(*schema.names)
@@ -173,7 +174,7 @@ class Ledger:
         picks = self.table("picks").select(
             "report_date", "pick_id", "strategy", "name", "ticker", "report_url"
         )
-        return self.table("outcomes").join(picks, ["report_date", "pick_id"])
+        return self.table("outcomes").join(sorted_side(picks), ["report_date", "pick_id"])
 
     # Writing -------------------------------------------------------------------------------------
 
@@ -211,8 +212,8 @@ class Ledger:
             if self._store.names("picks") or self._store.names("snapshots"):
                 for name, rows in old.items():
                     self._write(draft, f"{run}-first", name, rows, None)
-                self._write(draft, f"{run}-first", "tallies", return_tallies(old["settled"].join(
-                    old["picks"].select("report_date", "pick_id", "strategy"), ["report_date", "pick_id"])), None)
+                self._write(draft, f"{run}-first", "tallies", return_tallies(old["settled"].join(sorted_side(
+                    old["picks"].select("report_date", "pick_id", "strategy")), ["report_date", "pick_id"])), None)
         return draft, run
 
     def _add_picks(self, draft: Manifest, run: str, incoming: DataFrame) -> None:
@@ -227,7 +228,7 @@ class Ledger:
         due_days = {weekday_after(day, n) for day in days for n in K.HORIZONS.values()}
         settled = self._read(draft, "settled", due_days)
         known = settled.unionByName(self._read(draft, "open", due_days)).select("pick_id", "horizon")
-        fresh = open_outcomes(incoming).join(known, ["pick_id", "horizon"], "left_anti")
+        fresh = open_outcomes(incoming).join(sorted_side(known), ["pick_id", "horizon"], "left_anti")
         priced = settled.where(F.col("status") == K.PRICED)
         existing = self._read(draft, "picks", days)
         self._write(draft, run, "open", fresh, None)
@@ -249,9 +250,9 @@ class Ledger:
         reported = [d for d in draft.days("picks") if any(weekday_after(d, n) in deciding for n in K.HORIZONS.values())]
         entry = self._read(draft, "picks", reported).select(
             "pick_id", "report_date", "strategy", "ticker", "country", "entry_price", "entry_currency")
-        moving = (
+        moving = checkpointed(  # read twice: for the rows, and for the spans of their benchmark
             self._read(draft, "open", deciding).select("pick_id", "report_date", "horizon", "due_date")
-            .join(runs, "due_date").join(entry, ["pick_id", "report_date"])
+            .join(F.broadcast(runs), "due_date").join(sorted_side(entry), ["pick_id", "report_date"])
         )
         snapshots = self._read(draft, "snapshots", {*reported, *days})
         settled = checkpointed(settle(moving, quotes, snapshots).select("strategy", *OUTCOMES.names))

@@ -224,3 +224,29 @@ def test_summary_frames_are_written(spark, picks_frame, tmp_path):
     assert (one.completed, one.average_return_pct, one.hit_rate_pct) == (1, 20.0, 100.0)
     assert read["horizons"].count() == 8 and read["latest"].first().latest_return_pct == 20.0
     assert read["context"].first().companies == 1 and {r.list for r in read["ranked"].collect()} == {"best"}
+
+
+def test_joins_of_written_tables_broadcast_no_rows(spark, picks_frame, tmp_path):
+    """A table's size on disk says little of its size in memory: only days and spans are broadcast."""
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    day = dt.date(2026, 5, 11)
+    ledger.add_picks(picks_frame(dict(report_date=day)))
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    assert "BroadcastHashJoin" not in plan(ledger.outcomes_with_picks())
+    written = {}
+    due = spark.range(9).selectExpr("concat('T', id) ticker", "'SE' country", "date'2026-05-11' report_date", "date'2026-05-12' due_date",
+                                    "date'2026-05-12' as_of_date", "2.0D entry_price", "'SEK' entry_currency")
+    quotes = spark.range(9).selectExpr("concat('T', id) ticker", "'SE' country", "date'2026-05-12' quote_date", "3.0D price", "'SEK' currency")
+    snaps = quotes.withColumnRenamed("quote_date", "snapshot_date")
+    for name, df in dict(due=due, quotes=quotes, snaps=snaps.unionByName(snaps.withColumn("snapshot_date", F.lit(day)))).items():
+        df.write.parquet(str(tmp_path / name))
+        written[name] = spark.read.parquet(str(tmp_path / name))
+    settled = oc.settle(written["due"], written["quotes"], written["snaps"])
+    assert {(r.return_pct, r.excess_return_pct) for r in settled.collect()} == {(50.0, 50.0)}
+    # The benchmark's three keys and its spans' two are what may be broadcast; quotes and rows are sorted.
+    joins = [x for x in plan(settled).splitlines() if "HashJoin" in x]
+    assert joins and not any("ticker" in x for x in joins), joins
+    assert sum("SortMergeJoin" in x for x in plan(settled).splitlines()) >= 2
