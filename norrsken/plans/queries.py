@@ -535,10 +535,12 @@ def report_scan(spark, sf):
 # Streams -----------------------------------------------------------------------------------------
 
 
-def _write_reports(spark, sf, path, block: int = 50, days: Column | None = None):
+def _write_reports(spark, sf, path, block: int = 50, days: Column | None = None, per_file: int = 200):
     """Picks as report files, one document per day, strategy and block of names.
 
-    A block bounds the items that meet in one document, whatever the size of a day. ``days`` takes some report days.
+    A block bounds the items that meet in one document, whatever the size of a day, and ``per_file`` the documents
+    of a file: readers take report files whole, since a document may lie on many lines. ``days`` takes some report
+    days.
     """
     picks = tt.picks(spark, sf)
     if days is not None:
@@ -557,7 +559,7 @@ def _write_reports(spark, sf, path, block: int = 50, days: Column | None = None)
     metadata = F.struct(c("report_date").cast("string").alias("generated_at"), "strategy")
     documents.select("report_date", metadata.alias("metadata"), "items").hint(
         "rebalance", "report_date"
-    ).write.mode("append").partitionBy("report_date").json(path)
+    ).write.mode("append").option("maxRecordsPerFile", per_file).partitionBy("report_date").json(path)
 
 
 def stream_ledger(spark, sf):

@@ -250,3 +250,9 @@ def test_joins_of_written_tables_broadcast_no_rows(spark, picks_frame, tmp_path)
     joins = [x for x in plan(settled).splitlines() if "HashJoin" in x]
     assert joins and not any("ticker" in x for x in joins), joins
     assert sum("SortMergeJoin" in x for x in plan(settled).splitlines()) >= 2
+
+
+def test_report_files_hold_few_documents(spark, tmp_path):
+    q._write_reports(spark, SF, str(tmp_path / "reports"), block=1, per_file=2)
+    files = [f.read_text().splitlines() for f in (tmp_path / "reports").rglob("*.json")]
+    assert max(map(len, files)) == 2 and sum(map(len, files)) == tt.picks(spark, SF).count()
