@@ -114,9 +114,10 @@ def _enriched(scored, names, limit, quotas, fundamentals, budget, by, order) ->
 
     After rescoring only three kinds of row can be on the list: the candidates, the runner-up of
     a candidate's company (another share class), and the best other companies. All are among the
-    first ``k + budget`` ideas per country, so one shuffle by company carries the whole table.
-    What is left is bounded by the limits; it is checkpointed, and lookup, rescoring and ranking
-    run on it.
+    first ``k + budget`` ideas per country. Scored rows are written once under a row number; only
+    numbers and the columns of the order are shuffled and sorted by company, so no sort holds whole
+    rows. What is left is bounded by the limits; its rows are fetched by number and checkpointed, and
+    lookup, rescoring and ranking run on them.
     """
     c = F.col
     k = max(limit, *normalise_quotas(quotas).values(), 1) + budget
@@ -124,19 +125,21 @@ def _enriched(scored, names, limit, quotas, fundamentals, budget, by, order) ->
     if "long-term" in names:
         columns.append("gate")
     score_columns = [n for n in scored.columns if n not in columns]
+    scored = checkpointed(with_company_key(scored).withColumn("row_number", F.monotonically_increasing_id()))
+    narrow = ["row_number", *by, "name", "ticker", "country", "ordinal", "total"]
+    if "long-term" in names:
+        narrow.append(F.struct("gate.tier").alias("gate"))
     same_company = Window.partitionBy(*by, "company_key").orderBy("company_row")
-    two_best = best_per_company(scored, by, keep=2)
-    everything = F.struct(*columns, *score_columns)
-    winners = (
-        two_best.withColumn("runner_up", F.lead(everything).over(same_company))
-        .where("company_row = 1")
-        .drop("company_row")
-    )
-    pool = top_k(winners, k, [*by, "country"], score_order()).drop("rank")
+    two_best = best_per_company(scored.select(*narrow), by, keep=2)
+    winners = two_best.withColumn("runner_up", F.lead("row_number").over(same_company)).where("company_row = 1")
+    numbers = top_k(winners, k, [*by, "country"], score_order()).select("row_number", "runner_up")
     if "long-term" in names:
-        by_tier = top_k(winners, k, [*by, "country"], order).drop("rank")
-        pool = pool.unionByName(by_tier).dropDuplicates([*by, "ticker", "country", "ordinal"])
-    pool = checkpointed(pool)
+        by_tier = top_k(winners, k, [*by, "country"], order).select("row_number", "runner_up")
+        numbers = numbers.unionByName(by_tier).distinct()
+    numbers = checkpointed(numbers)
+    both = numbers.select("row_number").unionByName(numbers.select(c("runner_up").alias("row_number")))
+    rows = checkpointed(scored.join(both.distinct(), "row_number"))
+    pool = rows.join(numbers, "row_number").drop("row_number")
 
     chosen = select_top(pool, limit, quotas, by).where(c("rank") <= budget).drop("rank")
     keys = chosen.select(*by, "company_key")
@@ -145,7 +148,7 @@ def _enriched(scored, names, limit, quotas, fundamentals, budget, by, order) ->
     rescored = strategy_scores(merge_fundamentals(base, hits), names)
     rescored = with_company_key(rescored.where("strategy = chosen_for"))
     wanted = [*columns, *score_columns]
-    runners_up = chosen.where("runner_up is not null").select("runner_up.*")
+    runners_up = rows.join(chosen.select(c("runner_up").alias("row_number")), "row_number")
     others = pool.join(keys, [*by, "company_key"], "left_anti")
     rivals = (
         rescored.select(*wanted)

@@ -8,11 +8,13 @@ import pytest
 
 from norrsken.operators.ranking import best_per_company, company_filter, select_top
 from norrsken.operators.scoring import strategy_scores
+from norrsken.plans import queries, watchlist as watchlist_plan
 from norrsken.plans.watchlist import watchlist
 from norrsken.schemas import FILLABLE_METRICS
 from norrsken.operators.enrichment import FUNDAMENTAL_COLUMNS
 from norrsken.schemas import EVIDENCE
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from tests.conftest import SF
 from tests.test_functions import _key
 
 
@@ -215,3 +217,17 @@ def test_several_strategies_in_one_enriched_plan_equal_single_plans(spark, resea
         assert sorted((r["rank"], r.ticker, r.total) for r in alone) == sorted(
             (r["rank"], r.ticker, r.total) for r in together if r.strategy == strategy
         )
+
+
+def test_enrichment_sorts_no_whole_rows(spark, monkeypatch):
+    """Companies are compared by the columns of the order; whole rows are fetched for the few that are left."""
+    plans, real = [], watchlist_plan.checkpointed
+
+    def recorded(df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(watchlist_plan, "checkpointed", recorded)
+    assert queries.watchlist_enriched(spark, SF).count() == 40
+    by_company = [p for p in plans if "lead(" in p]
+    assert by_company and not any("evidence#" in p for p in by_company)
