@@ -42,6 +42,8 @@ from norrsken.llm.components import components
 WORDS = 5
 #: Links: 100 * intersection >= 80 * union. The bounds below follow from it.
 BATCH_BYTES = 2 << 20
+#: Text bytes hashed at once: each takes some 60 bytes of numbers meanwhile.
+HASHED_BYTES = 1 << 18
 #: Ratio of neighbouring size bands.
 BAND_RATIO = 1.25
 #: Segments beyond the H + 1 that the largest probe needs, and the share of segments with one-deletion entries.
@@ -70,7 +72,19 @@ def links(a: int, b: int, common: int) -> bool:
 
 def shingle_sets(texts: list[str | None], n: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    runs: list[list[bytes]] = [[]]
+    held = 0
+    for t in texts:
+        raw = (t or "").encode("utf-8", "surrogatepass")
+        if held + len(raw) > HASHED_BYTES and runs[-1]:
+            runs.append([])
+            held = 0
+        runs[-1].append(raw)
+        held += len(raw)
+    return [s for run in runs for s in _run_sets(run, n)]
+
+
+def _run_sets(raw: list[bytes], n: int) -> list[np.ndarray]:
     data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
     lengths = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
     ends = np.cumsum(lengths)
@@ -499,15 +513,18 @@ def near_links(df: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[D
         shaped.select("text").mapInArrow(_emit_signatures(buckets), _SIGNATURES)
         .groupBy("bucket").applyInArrow(lambda t: _match(t.drop(["bucket"])), _FOUND)
     )
+    # A pair is found in each bucket where it shares a signature: it is made one before anything is done with it.
     pairs = found.where("a is not null").groupBy("a", "b").agg(F.sum("support").alias("support"))
+    best = Window.partitionBy("b").orderBy(F.desc("support"), "a")
+    pairs = checkpointed(pairs.withColumn("n", F.row_number().over(best)))
     groups = found.where("members is not null").select(
         F.xxhash64("members").alias("group"), "members").dropDuplicates(["group"])
-    groups = groups.select("group", F.explode("members").alias("node"))
+    groups = checkpointed(groups.select("group", F.explode("members").alias("node")))
     # Whole sets of the candidates only. A row of each class is chosen by its key; a second pass over the texts
     # makes the chosen rows' sets where they lie, so that no text travels. The few rows that the bit table lets
     # through by chance go with the exact join after it.
-    wanted = found.where("a is not null").select(F.explode(F.array("a", "b")).alias("node")).unionByName(
-        found.where("members is not null").select(F.explode("members").alias("node"))).distinct()
+    wanted = checkpointed(
+        pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(groups.select("node")).distinct())
     chosen = rows.groupBy("node").agg(F.min("key").alias("key")).join(wanted, "node", "left_semi")
     bits = _wanted_rows(chosen)
     texts = shaped.select("text", F.pmod(F.xxhash64("key"), F.lit(WANTED_BITS)).alias("at"))
@@ -515,8 +532,6 @@ def near_links(df: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[D
         texts.mapInArrow(sets_of, "node long, size long, profile binary, hashes binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     )
     # Round 1: each set's best supported pair, then all pairs not yet within one component.
-    best = Window.partitionBy("b").orderBy(F.desc("support"), "a")
-    pairs = checkpointed(pairs.withColumn("n", F.row_number().over(best)))
     known = checkpointed(verified(pairs.where("n = 1"), sets))
     labels = components(known)
     known = checkpointed(known.unionByName(verified(_apart(pairs.where("n > 1"), labels), sets)))

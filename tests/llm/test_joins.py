@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -101,6 +102,47 @@ def test_copies(spark, seed, groups, copies, sizes, edits):
     assert _mine(frame) == _plain_components(range(len(texts)), texts)
 
 
+def _generated(plan) -> int:
+    """Rows that the plan's generators made, after a run."""
+    own = plan.metrics().apply("numOutputRows").value() if plan.nodeName() == "Generate" else 0
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        inner = [plan.executedPlan()]
+    elif plan.nodeName().endswith("QueryStage"):
+        inner = [plan.plan()]
+    else:
+        inner = [plan.children().apply(k) for k in range(plan.children().size())]
+    return own + sum(map(_generated, inner))
+
+
+def test_a_pair_of_many_buckets_is_opened_once(spark, monkeypatch):
+    words = [f"w{i}" for i in range(600)]
+    texts = [" ".join(words), " ".join([*words, "x"]), " ".join(f"v{i}" for i in range(600))]
+    plain, made = jc.checkpointed, []
+
+    def counted(df):
+        if "explode(array(a" in df._jdf.queryExecution().toString():
+            df.collect()
+            made.append(_generated(df._jdf.queryExecution().executedPlan()))
+        return plain(df)
+
+    monkeypatch.setattr(jc, "checkpointed", counted)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert _mine(frame) == _plain_components(range(len(texts)), texts)
+    assert made == [2]
+
+
+def test_hashing_holds_little_beside_many_texts():
+    texts = [" ".join(f"w{i}{k}" for i in range(400)) for k in range(800)]
+    tracemalloc.start()
+    try:
+        found = jc.shingle_sets(texts)
+        held = tracemalloc.get_traced_memory()[1] - sum(s.nbytes for s in found)
+    finally:
+        tracemalloc.stop()
+    assert held < 30e6  # of texts of 2 MB; 85 MB with all numbers of a batch at once
+    assert [len(s) for s in found] == [396] * 800
+
+
 def test_common_passage(spark):
     passage = " ".join(f"p{i}" for i in range(40))
     rng = random.Random(9)
